@@ -49,6 +49,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("steps", "stratum").withColumnRenamed("did", "doc_id")
 
 
+def op8_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.suffix_trees import digest, remove_repeats
+
+    return digest(remove_repeats(_read(spark, sf_dir, "documents")))
+
+
 def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.suffix_arrays import digest, remove_repeats
 
@@ -62,5 +68,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("did").alias("doc_id"), *[F.col("counts")[k].alias(f"n_{k}") for k in ("assign", "access", "hex")], "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_records, op3_packing, op4_mixing, op6_quality_rules, op9_suffix_arrays, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_records, op3_packing, op4_mixing, op6_quality_rules, op8_suffix_trees, op9_suffix_arrays, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
