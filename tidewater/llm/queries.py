@@ -42,6 +42,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select(F.col("did").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.jaccard_join import near_groups
+
+    return near_groups(_read(spark, sf_dir, "documents")).select(F.col("did").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.quality_rules import quality_rules
 
@@ -68,5 +74,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("did").alias("doc_id"), *[F.col("counts")[k].alias(f"n_{k}") for k in ("assign", "access", "hex")], "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_records, op3_packing, op4_mixing, op6_quality_rules, op8_suffix_trees, op9_suffix_arrays, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_records, op3_packing, op4_mixing, op5_jaccard_join, op6_quality_rules, op8_suffix_trees, op9_suffix_arrays, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
