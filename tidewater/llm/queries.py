@@ -55,6 +55,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("steps", "stratum").withColumnRenamed("did", "doc_id")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.nearest import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings"), "id % 20 = 0").withColumnRenamed("id", "vec_id")
+
+
 def op8_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.suffix_trees import digest, remove_repeats
 
@@ -74,5 +80,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("did").alias("doc_id"), *[F.col("counts")[k].alias(f"n_{k}") for k in ("assign", "access", "hex")], "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_records, op3_packing, op4_mixing, op5_jaccard_join, op6_quality_rules, op8_suffix_trees, op9_suffix_arrays, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_records, op3_packing, op4_mixing, op5_jaccard_join, op6_quality_rules, op7_nearest, op8_suffix_trees, op9_suffix_arrays, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
