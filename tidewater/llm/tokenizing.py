@@ -45,7 +45,7 @@ class Encoder:
         easy = [c for c in chunks if self.letters(c)] if len(self.mark) == 1 else []
         for i in range(0, len(easy), 20_000):
             some = easy[i : i + 20_000]
-            ids = np.array(self.model.encode(self.between.join(some), add_special_tokens=False).ids, self.dtype)
+            ids = np.array(self.model.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, self.dtype)
             cuts = np.flatnonzero(ids == self.mark[0])
             if len(cuts) != len(some) - 1:  # the separator is not what it should be in this model
                 self.known.update(zip(some, self._library(some)))
