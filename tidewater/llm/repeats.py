@@ -137,8 +137,8 @@ def _number(*parts: bytes) -> int:
     return int.from_bytes(blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
 
 
-_PIECE = "key long, h long, sk long, at int, n int, o int, m long, seg binary"
-_PIECE_ARROW = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("sk", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("o", pa.int32()), ("m", pa.int64()), ("seg", pa.binary())])
+_PIECE = "key long, h long, sk long, at int, n int, o int, m long, seg binary, divided boolean"
+_PIECE_ARROW = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("sk", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("o", pa.int32()), ("m", pa.int64()), ("seg", pa.binary()), ("divided", pa.bool_())])
 
 
 def _extract(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
@@ -153,15 +153,15 @@ def _extract(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
                 for x in want:
                     s, n, o = x["s"], x["n"], x["o"]
                     if x["g"] <= GROUP:
-                        rows.append((x["h"], x["h"], x["sk"], 0, n, o, x["m"], cut(s, s + n - 1 + unit.width)))
+                        rows.append((x["h"], x["h"], x["sk"], 0, n, o, x["m"], cut(s, s + n - 1 + unit.width), False))
                         continue
                     # window i is l = o - i before the anchor; all with l in one cell of the grid share a stretch
                     for q in range((o - n + 1) // unit.grid, o // unit.grid + 1):
                         low, high = q * unit.grid, q * unit.grid + unit.grid - 1
                         i, j = max(0, o - high), min(n - 1, o - low)
                         common = cut(s + o - low, s + o - high + unit.width)
-                        rows.append((_number(x["h"].to_bytes(8, "little", signed=True), q.to_bytes(4, "little"), common), x["h"], x["sk"], i, j - i + 1, o - i, x["m"], cut(s + i, s + j + unit.width)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 8, _PIECE_ARROW)], schema=_PIECE_ARROW)
+                        rows.append((_number(x["h"].to_bytes(8, "little", signed=True), q.to_bytes(4, "little"), common), x["h"], x["sk"], i, j - i + 1, o - i, x["m"], cut(s + i, s + j + unit.width), True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 9, _PIECE_ARROW)], schema=_PIECE_ARROW)
 
     return same_key(docs, lists, "inner").select("text", "want").mapInArrow(run, _PIECE)
 
@@ -222,11 +222,11 @@ def repeated(docs: DataFrame, unit: Unit, marks: Callable[[list[dict]], list[np.
     distinct = found.groupBy("h", "sk").agg(F.min(F.struct("did", "th", "s", "n", "o")).alias("x"), F.count(F.lit(1)).alias("m"))
     distinct = written(distinct.select("h", "sk", "x.*", "m"), "segments")
     size = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("g"))
-    text = _extract(docs, distinct.join(size, "h"), unit)
-    text = written(text, "segment-texts")
-    large = text.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > GROUP).select("key")
-    rest = text.join(large, "key", "left_anti")
-    spans = _by_group(rest, marks).unionByName(_by_window(text.join(large, "key", "left_semi"), unit))
+    text = written(_extract(docs, distinct.join(size, "h"), unit), "segment-texts")
+    small, divided = text.filter("not divided"), text.filter("divided")
+    large = divided.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > GROUP).select("key")
+    rest = small.unionByName(divided.join(large, "key", "left_anti"))
+    spans = _by_group(rest, marks).unionByName(_by_window(divided.join(large, "key", "left_semi"), unit))
     where = found.select("h", "sk", "did", "th", "s").join(spans, ["h", "sk"])
     pair = F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") - 1 + unit.width).alias("b"))
     return where.groupBy("did", "th").agg(F.collect_set(pair).alias("spans"))
