@@ -49,10 +49,22 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("did"), F.xxhash64(F.lit(7), F.col(id_col), text).alias("th"), text.alias("text"))
 
 
+#: Stands for a null id in keys; ``th`` tells such rows from others.
+NO_ID = -(1 << 63)
+
+
 def same_key(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     """Join on (did, th); a null id equals a null id."""
-    r = right.withColumnRenamed("did", "did_r").withColumnRenamed("th", "th_r")
-    return left.join(r, (F.col("th") == F.col("th_r")) & F.col("did").eqNullSafe(F.col("did_r")), how).drop("did_r", "th_r")
+    dk = F.coalesce("did", F.lit(NO_ID)).alias("dk")
+    return left.select("*", dk).join(right.select(dk, *[c for c in right.columns if c != "did"]), ["th", "dk"], how).drop("dk")
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, did, th, dk, j): whole rows with their keys; ``j`` numbers rows that repeat id and text from 1."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("did"), F.xxhash64(F.lit(7), F.col(id_col), text).alias("th"))
+    own = own.withColumn("dk", F.coalesce("did", F.lit(NO_ID)))
+    return own.withColumn("j", F.row_number().over(Window.partitionBy("th", "dk").orderBy("th")))
 
 
 def ranked(df: DataFrame, groups: list[str], order: list, part: str, rank: str = "rank") -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import blocks_of, encoded, keyed, mix, ngram_hashes, pieces, same_key, word_hashes, written
+from tidewater.llm.common import NO_ID, blocks_of, encoded, keyed, mix, ngram_hashes, numbered, pieces, same_key, word_hashes, written
 from tidewater.llm.components import components
 
 WORDS = 5
@@ -236,7 +236,7 @@ def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, k: int, perce
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(did, th, n_shingles, component_id) of every row of ``docs``.
+    """(did, th, n_shingles, component_id, component) of every row of ``docs``; ``component`` names the group of sets, null without words.
 
     ``component_id`` is the least id that links reach, the row's own included. Texts without words have no shingles and their own id.
     Rows with equal sets are linked; rows without an id link like others but give no component id, so a component of such rows alone
@@ -262,4 +262,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = texts.join(joined, F.col("c") == F.col("node"), "left").select("did", "th", "n", F.when(F.col("n") > 0, F.coalesce("component", "c")).alias("component"))
     least = placed.filter("n > 0").groupBy("component").agg(F.min("did").alias("least"))
     out = placed.join(least, "component", "left")
-    return out.select("did", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("did")).alias("component_id"))
+    return out.select("did", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("did")).alias("component_id"), "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` of which each group keeps one: that of least id (null last), then of least hash.
+
+    Texts without words are in no group and stay.
+    """
+    groups = near_groups(docs, id_col, text_col, **how).select("th", F.coalesce("did", F.lit(NO_ID)).alias("dk"), "component", F.struct(F.col("did").isNull().alias("x"), "did", "th").alias("order"))
+    groups = written(groups.distinct(), "groups")
+    first = groups.filter("component is not null").groupBy("component").agg(F.min("order").alias("order"))
+    keep = first.select(F.col("order.th").alias("th"), F.coalesce("order.did", F.lit(NO_ID)).alias("dk"), F.lit(1).alias("most"))
+    keep = keep.unionByName(groups.filter("component is null").select("th", "dk", F.lit((1 << 31) - 1).alias("most")))
+    return numbered(docs, id_col, text_col).join(keep, ["th", "dk"]).filter("j <= most").select("row.*")

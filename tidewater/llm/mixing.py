@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WORD, ranked, same_key, written
+from tidewater.llm.common import NO_ID, WORD, numbered, ranked, written
 
 #: Words that the dynamic program may have to fill; the proportional part closes what is above.
 MOST_BUDGET = 1 << 17
@@ -116,10 +116,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it is taken; columns as they were."""
-    same = Window.partitionBy("did", "th")
-    took = mix(docs, **how).select("did", "th", "copies", F.row_number().over(same.orderBy(F.desc("copies"))).alias("__i"))
-    id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("did"), F.xxhash64(F.lit(7), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
-    own = own.withColumn("__j", F.row_number().over(same.orderBy("th")))
-    both = same_key(own, took.withColumnRenamed("__i", "__j2"), "inner").filter(F.col("__j") == F.col("__j2"))
-    return both.filter("copies > 0").select("__row", F.explode(F.expr("sequence(1, copies)")).alias("__copy")).select("__row.*")
+    dk = F.coalesce("did", F.lit(NO_ID))
+    took = mix(docs, **how).select("th", dk.alias("dk"), "copies")
+    took = took.withColumn("j", F.row_number().over(Window.partitionBy("th", "dk").orderBy(F.desc("copies")))).filter("copies > 0")
+    own = numbered(docs, how.get("id_col", "doc_id"), how.get("text_col", "text"))
+    both = own.join(took.withColumnRenamed("j", "i"), ["th", "dk"]).filter("i = j")
+    return both.select("row", F.explode(F.expr("sequence(1, copies)")).alias("copy")).select("row.*")

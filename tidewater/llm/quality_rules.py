@@ -156,3 +156,22 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     stats = written(statistics(docs, id_col, text_col), "quality-statistics")
     return judge(stats, fit(stats, labels))
+
+
+def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, as they were; rows do not move."""
+    cuts = fit(statistics(docs, id_col, text_col), labels)
+    place = docs.columns.index(text_col)
+
+    def good(text: str | None) -> bool:
+        base = base_stats(text or "")
+        if base[0] < 50 or 100 * base[4] > 50 * base[0]:
+            return False
+        s = stratum(base[0])
+        return not any(step >= cuts.get((s, r), STEPS + 1) for r, step in enumerate(rule_steps(text or "", base)))
+
+    def run(batches):
+        for batch in pieces(batches, column=text_col):
+            yield batch.filter(pa.array([good(t) for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
