@@ -217,7 +217,8 @@ def repeated(docs: DataFrame, unit: Unit, marks: Callable[[list[dict]], list[np.
     Rows that repeat id and text are one entry and occur as often as they are there.
     """
     found = written(anchors(docs, unit), "anchors")
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    # a table of its own, so that the join below meets two plain shuffles and Spark can split a hot anchor
+    often = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "anchors-often")
     found = written(found.join(often, "h"), "anchors-again")
     distinct = found.groupBy("h", "sk").agg(F.min(F.struct("did", "th", "s", "n", "o")).alias("x"), F.count(F.lit(1)).alias("m"))
     distinct = written(distinct.select("h", "sk", "x.*", "m"), "segments")
