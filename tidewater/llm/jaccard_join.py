@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import NO_ID, blocks_of, encoded, keyed, mix, ngram_hashes, numbered, pieces, same_key, word_hashes, written
@@ -152,6 +152,13 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange("h", "n", "c").sortWithinPartitions("h", "n", "c").mapInArrow(run, "a long, b long, n long")
 
 
+def _closest(pairs: DataFrame, each: int = 2) -> DataFrame:
+    """(a, b): of every set, the pairs with the ``each`` sets that it meets most often. The others are left to the product."""
+    both = pairs.select("a", "b", "times").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "times"))
+    first = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))).filter(F.col("r") <= each)
+    return first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _product(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b, na, nb, c, ia, ib): overlaps of rows of different components, summed in blocks of shingles.
 
@@ -249,7 +256,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = np.sort(np.array([r["c"] for r in often.select("c").toLocalIterator()], np.int64)).view(np.uint64)
     rows = written(_shared(postings(own, common, k, percent)), "shared-shingles")
     close = _neighbours(rows).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("n"))
-    close = written(close.filter(400 * F.col("times") >= (100 - percent) * F.col("n")).select("a", "b"), "close-pairs")
+    close = written(_closest(close.filter(400 * F.col("times") >= (100 - percent) * F.col("n"))), "close-pairs")
     links = written(_verified(own, texts, close, k, percent), "first-links")
     joined = components(links)
     label = F.coalesce("component", "c").alias("component")
