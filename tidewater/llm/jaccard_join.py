@@ -23,7 +23,7 @@ WORDS = 5
 #: Similarity in percent.
 PERCENT = 80
 #: Shingles that count as common, the most frequent ones. It decides the order alone, not the result.
-COMMON = 1 << 17
+COMMON = 1 << 18
 
 
 def shingles(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
@@ -106,6 +106,11 @@ def postings(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> DataF
     return docs.select("text").mapInArrow(run, "h long, c long, n int, i int")
 
 
+def _sorted(often: DataFrame) -> np.ndarray:
+    """The common shingles as a sorted array, at most 2 * COMMON of eight bytes."""
+    return np.sort(np.array([r["c"] for r in often.select("c").toLocalIterator()], np.int64)).view(np.uint64)
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows of shingles that at least two sets have among their first; equal rows once."""
 
@@ -253,8 +258,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = written(describe(own, k), "shingle-sets")
     texts = seen.filter("kind = 0").select("did", "th", "c", "n")
     often = seen.filter("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(COMMON)
-    common = np.sort(np.array([r["c"] for r in often.select("c").toLocalIterator()], np.int64)).view(np.uint64)
-    rows = written(_shared(postings(own, common, k, percent)), "shared-shingles")
+    rows = written(_shared(postings(own, _sorted(often), k, percent)), "shared-shingles")
+    # what several sets still share among their first shingles is put behind the rest, and the first ones are chosen anew
+    again = rows.groupBy(F.col("h").bitwiseAND(F.lit((1 << 63) - 1)).alias("c")).agg(F.count_distinct("c").alias("n")).filter("n > 2")
+    often = often.unionByName(again.orderBy(F.desc("n"), "c").limit(COMMON)).groupBy("c").agg(F.max("n").alias("n"))
+    rows = written(_shared(postings(own, _sorted(often), k, percent)), "shared-shingles")
     close = _neighbours(rows).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("n"))
     close = written(_closest(close.filter(400 * F.col("times") >= (100 - percent) * F.col("n"))), "close-pairs")
     links = written(_verified(own, texts, close, k, percent), "first-links")
