@@ -59,6 +59,9 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             break
         if spare[i] and 0 < lengths[i] <= open_:
             take[i], spare[i], open_ = take[i] + 1, spare[i] - 1, open_ - int(lengths[i])
+    for i in np.argsort(lengths, kind="stable"):  # two documents of each length go back to the program, as far as its bound allows
+        back = min(2, int(take[i]), (MOST_BUDGET - open_) // int(lengths[i])) if lengths[i] and open_ < MOST_BUDGET else 0
+        take[i], spare[i], open_ = take[i] - back, spare[i] + back, open_ + back * int(lengths[i])
     items = []  # (words, index, documents): each count in pieces of 1, 2, 4 ... documents
     for i in np.argsort(lengths, kind="stable"):
         n, step = min(int(spare[i]), open_ // int(lengths[i])) if lengths[i] else 0, 1
