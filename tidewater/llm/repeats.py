@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import _BYTE, _R, _RINV, _power, blocks_of, encoded, mix, ngram_hashes, pieces, same_key, word_hashes, written
+from tidewater.llm.common import _BYTE, _R, _RINV, _power, blocks_of, discard, encoded, mix, ngram_hashes, pieces, same_key, word_hashes, written
 
 #: The most distinct segments that are held together.
 GROUP = 512
@@ -216,10 +216,11 @@ def repeated(docs: DataFrame, unit: Unit, marks: Callable[[list[dict]], list[np.
 
     Rows that repeat id and text are one entry and occur as often as they are there.
     """
-    found = written(anchors(docs, unit), "anchors")
+    every = written(anchors(docs, unit), "anchors")
     # a table of its own, so that the join below meets two plain shuffles and Spark can split a hot anchor
-    often = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "anchors-often")
-    found = written(found.join(often, "h"), "anchors-again")
+    often = written(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "anchors-often")
+    found = written(every.join(often, "h"), "anchors-again")
+    discard(every)
     distinct = found.groupBy("h", "sk").agg(F.min(F.struct("did", "th", "s", "n", "o")).alias("x"), F.count(F.lit(1)).alias("m"))
     distinct = written(distinct.select("h", "sk", "x.*", "m"), "segments")
     size = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("g"))
