@@ -15,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def _rows(df):
     def cell(x):
-        if x is None or x != x or str(x) in ("<NA>", "NaT"):
+        if x is None or str(x) in ("<NA>", "NaT", "nan"):
             return None
         if isinstance(x, float):
             return round(x, 5) if math.isfinite(x) else str(x)
