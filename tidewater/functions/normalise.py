@@ -9,22 +9,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Ordered category rules; a later rule wins.
+#: Ordered category rules on upper-case text; a later rule wins.
+HISPANIC = "HISPANIC|LATINO"
+UNKNOWN = "UNKNOWN|UNABLE|DECLINED|NOT SPECIFIED|OTHER/UNKNOWN|PORTUGUESE"
 CATEGORY_RULES = (
-    ("WHITE", "white|portuguese"),
-    ("BLACK", "black|african"),
-    ("ASIAN", "asian"),
-    ("AMERICAN_INDIAN_ALASKA_NATIVE", "american indian|alaska"),
-    ("NATIVE_HAWAIIAN_PACIFIC_ISLANDER", "hawaiian|pacific"),
-    ("MULTIPLE", "multiple"),
-    ("OTHER", "hispanic|latino|south american"),
-    ("UNKNOWN", "unknown|unable|declined|not specified"),
+    ("WHITE", "WHITE"),
+    ("BLACK", "BLACK|AFRICAN"),
+    ("ASIAN", "ASIAN"),
+    ("AMERICAN_INDIAN_OR_ALASKA_NATIVE", "AMERICAN INDIAN|ALASKA NATIVE"),
+    ("NATIVE_HAWAIIAN_OR_PACIFIC_ISLANDER", "NATIVE HAWAIIAN|PACIFIC ISLAND"),
+    ("MULTIPLE", "MULTIPLE"),
+    ("OTHER", HISPANIC),
+    ("UNKNOWN", UNKNOWN),
 )
 
 
 def category(c: Column, rules=CATEGORY_RULES, default: str = "OTHER", null: str = "UNKNOWN") -> Column:
     """The last rule that matches; null is read as ``null`` before the rules."""
-    text = F.lower(F.coalesce(c, F.lit(null)))
+    text = F.trim(F.upper(F.coalesce(c, F.lit(null))))
     out = None
     for name, pattern in reversed(rules):
         hit = text.rlike(pattern)
@@ -33,8 +35,8 @@ def category(c: Column, rules=CATEGORY_RULES, default: str = "OTHER", null: str
 
 
 def ethnicity(c: Column) -> Column:
-    text = F.lower(F.coalesce(c, F.lit("unknown")))
-    return F.when(text.rlike("hispanic|latino"), "HISPANIC_OR_LATINO").when(text.rlike("unknown|unable|declined"), "UNKNOWN").otherwise("NOT_HISPANIC_OR_LATINO")
+    text = F.trim(F.upper(F.coalesce(c, F.lit("UNKNOWN"))))
+    return F.when(text.rlike(HISPANIC), "HISPANIC_OR_LATINO").when(text.rlike(UNKNOWN), "UNKNOWN").otherwise("NOT_HISPANIC_OR_LATINO")
 
 
 def canonical_id(c: Column) -> Column:

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 #: What must not be in published text.
 SENSITIVE = {
-    "credential": r"(?i)(password|passwd|secret|api[_-]?key|token)\s*[:=]\s*\S+",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "database_url": r"(?i)(postgres|postgresql|mysql|mssql|oracle)://\S+",
-    "internal_path": r"(/home/|/Users/|C:\\\\Users\\\\)[A-Za-z0-9._-]+",
-    "connection": r"(?i)(host|server)\s*=\s*[A-Za-z0-9.-]+\s*;",
+    "credential": r"(?i)(password|passwd|api[_-]?key|access[_-]?token|secret)\s*[:=]\s*[^\s'\"]{4,}",
+    "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    "database_url": r"(?i)(?:postgres(?:ql)?|mysql|mssql|oracle)://[^/\s]+@",
+    "internal_path": r"(?i)(?:/Users/[^/\s]+|/home/[^/\s]+|/mnt/[^/\s]+|/(?:Volumes|private|srv|opt)/[^/\s]+|[A-Z]:\\Users\\[^\\\s]+)",
+    "connection": r"(?i)(?:host|server|database|dsn)\s*[:=]\s*(?!<|example|unset)[^\s,;]{3,}",
 }
 
 
@@ -95,12 +95,12 @@ def table_diff(a: DataFrame, b: DataFrame, keys: list[str], atol: float = 5e-11)
 
 
 def sensitive_scan(df: DataFrame, columns: list[str], patterns: dict[str, str] | None = None) -> DataFrame:
-    """(column, pattern, rows): how many values match; values are not shown."""
+    """(column, pattern, rows): how many values match, each pattern having a row; values are not shown."""
     patterns = patterns or SENSITIVE
     hits = [F.count_if(F.col(c).rlike(p)).alias(f"{c}|{n}") for c in columns for n, p in patterns.items()]
     one = df.agg(*hits)
     cells = [F.struct(F.lit(c).alias("column"), F.lit(n).alias("pattern"), F.col(f"{c}|{n}").alias("rows")) for c in columns for n in patterns]
-    return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*").filter("rows > 0")
+    return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
 def small_cells(df: DataFrame, count_columns: list[str], threshold: int, keys: list[str]) -> DataFrame:

@@ -161,12 +161,12 @@ def _race():
     return F.element_at(F.array(*[F.lit(v).cast("string") for v in _RACES]), (F.col("c_custkey") % 12 + 1).cast("int"))
 
 
-@query("harmonise_category", f"with r as (select c_custkey, lower(coalesce({_RACE_SQL}, 'UNKNOWN')) t from customer) select c_custkey, case " + " ".join(f"when regexp_matches(t, '{p}') then '{n}'" for n, p in reversed(N.CATEGORY_RULES)) + " else 'OTHER' end as race from r")
+@query("harmonise_category", f"with r as (select c_custkey, upper(trim(coalesce({_RACE_SQL}, 'UNKNOWN'))) t from customer) select c_custkey, case " + " ".join(f"when regexp_matches(t, '{p}') then '{n}'" for n, p in reversed(N.CATEGORY_RULES)) + " else 'OTHER' end as race from r")
 def _(spark, d):
     return B._t(spark, d, "customer", "c_custkey").select("c_custkey", N.category(_race()).alias("race"))
 
 
-@query("harmonise_ethnicity", f"with r as (select c_custkey, lower(coalesce({_RACE_SQL}, 'unknown')) t from customer) select c_custkey, case when regexp_matches(t, 'hispanic|latino') then 'HISPANIC_OR_LATINO' when regexp_matches(t, 'unknown|unable|declined') then 'UNKNOWN' else 'NOT_HISPANIC_OR_LATINO' end as ethnicity from r")
+@query("harmonise_ethnicity", f"with r as (select c_custkey, upper(trim(coalesce({_RACE_SQL}, 'UNKNOWN'))) t from customer) select c_custkey, case when regexp_matches(t, '{N.HISPANIC}') then 'HISPANIC_OR_LATINO' when regexp_matches(t, '{N.UNKNOWN}') then 'UNKNOWN' else 'NOT_HISPANIC_OR_LATINO' end as ethnicity from r")
 def _(spark, d):
     return B._t(spark, d, "customer", "c_custkey").select("c_custkey", N.ethnicity(_race()).alias("ethnicity"))
 
@@ -352,9 +352,10 @@ def _(spark, d):
 
 _CODES = ("410.1", "428", "440.9", "290", "5722", "571", "2500", "2504", "C77", "I50.1", "145", "196")
 _DX = "dx as (select l_orderkey as visit_id, case l_partkey % 12 " + " ".join(f"when {i} then '{c}'" for i, c in enumerate(_CODES)) + " end as code, case when l_partkey % 12 in (8, 9) then 10 else 9 end as icd_version from lineitem)"
-_PREFIX_SQL = "(values " + ", ".join(f"({v}, '{p}', '{n}')" for n, _, nine, ten, _ in H.CATEGORIES for v, ps in ((9, nine), (10, ten)) for p in ps) + ") x(v, p, category)"
-_RANGE_SQL = "(values " + ", ".join(f"(9, '{a}', '{b}', '{n}')" for n, *_, spans in H.CATEGORIES for a, b in spans) + ") x(v, lo, hi, category)"
-_CLASS = f"codes as (select distinct regexp_replace(upper(trim(code)), '[^A-Z0-9]', '', 'g') as code, icd_version from dx), cls as (select distinct code, icd_version, category from codes join {_PREFIX_SQL} on v = icd_version and starts_with(code, p) union select code, icd_version, category from codes join {_RANGE_SQL} on v = icd_version and substr(code, 1, 3) between lo and hi)"
+_PREFIXES, _RANGES = H.spans()
+_PREFIX_SQL = "(values " + ", ".join(f"({v}, '{p}', '{n}')" for v, p, n in _PREFIXES) + ") x(v, p, category)"
+_RANGE_SQL = "(values " + ", ".join(f"({v}, {k}, '{a}', '{b}', '{n}')" for v, k, a, b, n in _RANGES) + ") x(v, k, lo, hi, category)"
+_CLASS = f"codes as (select distinct regexp_replace(upper(trim(code)), '[^A-Z0-9]', '', 'g') as code, icd_version from dx), cls as (select distinct code, icd_version, category from codes join {_PREFIX_SQL} on v = icd_version and starts_with(code, p) union select code, icd_version, category from codes join {_RANGE_SQL} on v = icd_version and length(code) >= k and substr(code, 1, k) between lo and hi)"
 _MILD = {m: s for s, m in H.SUPERSEDES}
 _SCORE = " + ".join(f"{w} * max(case when category = '{n}' then 1 else 0 end)" + (f" * (1 - max(case when category = '{_MILD[n]}' then 1 else 0 end))" if n in _MILD else "") for n, w, *_ in H.CATEGORIES)
 

@@ -386,10 +386,17 @@ def _(spark, d):
     return A.table_diff(a, b, ["o_orderkey"])
 
 
-_SCAN = " union all ".join(f"select 'text' as \"column\", '{n}' as pattern, count(*) filter (regexp_matches(text, '{p}')) as rows from documents" for n, p in A.SENSITIVE.items())
+#: What the other engine's regular expressions can say; they have no lookahead.
+_PLAIN = {n: p for n, p in A.SENSITIVE.items() if n != "connection"}
+_SCAN = " union all ".join(f"select 'text' as \"column\", '{n}' as pattern, count(*) filter (regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')) as rows from documents" for n, p in _PLAIN.items())
 
 
-@query("sensitive_scan", f"select * from ({_SCAN}) where rows > 0")
+@query("sensitive_scan", _SCAN)
+def _(spark, d):
+    return A.sensitive_scan(B._t(spark, d, "documents", "text"), ["text"], _PLAIN)
+
+
+@query("sensitive_scan_all")
 def _(spark, d):
     return A.sensitive_scan(B._t(spark, d, "documents", "text"), ["text"])
 
