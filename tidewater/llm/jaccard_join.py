@@ -5,8 +5,8 @@ few of each, as many as their sizes allow to be missing. So only those columns o
 shingle, overlaps are summed over pairs, and a pair is discarded when its overlap so far and what is left after its last common
 shingle cannot reach the bound that both sizes set. What remains is counted on whole sets.
 
-Equal sets are one node from the start. Neighbours by size within a shingle are tried first; their links join most of a large group of
-near copies, and the product then runs between different components only.
+Equal sets are one node from the start. Neighbours by size within a shingle, and each set with the hub of its shingle, are tried first; their
+links join most of a large group of near copies, and the product then runs between different components only.
 """
 
 from __future__ import annotations
@@ -157,6 +157,20 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange("h", "n", "c").sortWithinPartitions("h", "n", "c").mapInArrow(run, "a long, b long, n long")
 
 
+def _hubs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n): each set with the set of its shingle that has the largest share of its first shingles in common with others.
+
+    An original shares all of them with its copies, and a copy lacks those that were changed, so copies that are far from one
+    another meet in their original. One pair for each row.
+    """
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    share = rows.groupBy("c").agg(F.count_distinct("h").alias("have"), F.max(first).alias("first")).select("c", (F.col("have") / F.col("first")).alias("share"))
+    ranked = written(rows.select("h", "c", "n").distinct().join(share, "c"), "shares")
+    hub = written(ranked.groupBy("h").agg(F.max(F.struct("share", "n", "c")).alias("x")).select("h", F.col("x.c").alias("hub"), F.col("x.n").alias("hn")), "hubs")
+    met = ranked.join(hub, "h").filter("c != hub")
+    return met.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b"), F.least("n", "hn").alias("n"))
+
+
 def _closest(pairs: DataFrame, each: int = 2) -> DataFrame:
     """(a, b): of every set, the pairs with the ``each`` sets that it meets most often. The others are left to the product."""
     both = pairs.select("a", "b", "times").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "times"))
@@ -263,7 +277,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = rows.groupBy(F.col("h").bitwiseAND(F.lit((1 << 63) - 1)).alias("c")).agg(F.count_distinct("c").alias("n")).filter("n > 2")
     often = often.unionByName(again.orderBy(F.desc("n"), "c").limit(COMMON)).groupBy("c").agg(F.max("n").alias("n"))
     rows = written(_shared(postings(own, _sorted(often), k, percent)), "shared-shingles")
-    close = _neighbours(rows).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("n"))
+    close = _neighbours(rows).unionByName(_hubs(rows, percent).select("a", "b", F.col("n").cast("long").alias("n"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("n"))
     close = written(_closest(close.filter(400 * F.col("times") >= (100 - percent) * F.col("n"))), "close-pairs")
     links = written(_verified(own, texts, close, k, percent), "first-links")
     joined = components(links)
