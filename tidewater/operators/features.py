@@ -67,6 +67,39 @@ def exposures(events: DataFrame, cohort: DataFrame, concepts: list[str]) -> Data
     return df.select("visit_id", *[x for c in concepts for x in (F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(f"{c}_count"), (F.coalesce(F.col(f"`{c}`"), F.lit(0)) > 0).cast("int").alias(f"{c}_exposure"))])
 
 
+#: Statistics of a concept in construction order, with the value of a visit that has no event of it.
+STATISTICS = {"measurements": {"mean": None, "max": None, "min": None, "sd": None, "count": 0.0, "missing": 1.0}, "medications": {"count": 0.0, "exposure": 0.0}, "procedures": {"count": 0.0, "exposure": 0.0}}
+#: Aggregates over all concepts of a domain, likewise.
+AGGREGATES = {"measurements": {}, "medications": {"any": 0.0, "unique": 0.0, "repeat": 0.0, "first_hours": None}, "procedures": {"any": 0.0, "unique": 0.0, "total": 0.0}}
+
+
+def domain_cells(events: DataFrame, domain: str) -> DataFrame:
+    """(visit_id, fold, concept_key, feature, place, value) of what visits with events of a domain have; the concept of aggregates is empty.
+
+    ``place`` is a statistic's place within its concept; aggregates follow all concepts.
+    """
+    per = events.groupBy("visit_id", "fold", "concept_key").agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"), F.coalesce(F.stddev_samp("value"), F.when(F.count("value") > 0, 0.0)).alias("sd"), F.count("value" if domain == "measurements" else F.lit(1)).alias("count"), F.count(F.lit(1)).alias("n"), F.min("hours_from_start").alias("first_hours"))
+    per = per.withColumn("missing", (F.col("count") == 0).cast("int")).withColumn("exposure", F.lit(1))
+    stats = F.explode(F.array(*[F.struct(F.concat("concept_key", F.lit(f"__{s}")).alias("feature"), F.lit(i).alias("place"), canonical_float(F.col(s).cast("double")).alias("value")) for i, s in enumerate(STATISTICS[domain])]))
+    cells = per.select("visit_id", "fold", "concept_key", stats.alias("x")).select("visit_id", "fold", "concept_key", "x.*")
+    if AGGREGATES[domain]:
+        visit = per.groupBy("visit_id", "fold").agg(F.lit(1).alias("any"), F.count(F.lit(1)).alias("unique"), F.sum("n").alias("total"), F.sum(F.col("n") - 1).alias("repeat"), F.min("first_hours").alias("first_hours"))
+        whole = F.explode(F.array(*[F.struct(F.lit(f"{domain}__{s}").alias("feature"), F.lit(i).alias("place"), F.col(s).cast("double").alias("value")) for i, s in enumerate(AGGREGATES[domain])]))
+        cells = cells.unionByName(visit.select("visit_id", "fold", F.lit("").alias("concept_key"), whole.alias("x")).select("visit_id", "fold", "concept_key", "x.*"))
+    return cells
+
+
+def selected_features(cells: DataFrame, top: DataFrame, keep: int) -> DataFrame:
+    """(fold, feature, support, rank): the features of most training support among those of a fold's top concepts (fold, concept_key, rank) and the aggregates.
+
+    Ties go by construction order: concepts by rank, statistics by place, then aggregates.
+    """
+    said = F.when(F.col("feature").endswith("__missing"), F.col("value") == 0).when(F.col("feature").rlike("__(mean|max|min|sd|first_hours)$"), F.col("value").isNotNull()).otherwise(F.col("value") > 0)
+    support = training_counts(cells.filter(said), ["concept_key", "feature", "place"], "support")
+    ranked = support.join(top.select("fold", "concept_key", F.col("rank").alias("of")), ["fold", "concept_key"], "left").filter("of is not null or concept_key = ''")
+    return top_per(ranked, ["fold"], [F.desc("support"), F.col("of").asc_nulls_last(), F.col("place"), F.col("feature")], keep).select("fold", "feature", "support", "rank")
+
+
 def visit_aggregates(events: DataFrame, cohort: DataFrame) -> DataFrame:
     """any, unique, total, repeat and first_hours over all concepts, for every row of the cohort."""
     per = events.groupBy("visit_id").agg(F.count_distinct("concept_key").alias("u"), F.count(F.lit(1)).alias("t"), F.min("hours_from_start").alias("first_hours"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import md5
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -24,6 +27,8 @@ class FitRules:
     seed: int = 42
 
 
+#: Matrices whose fits run at the same time.
+AT_ONCE = 4
 #: Fixed order of models, which also settles ties.
 MODELS = ("logistic", "random_forest", "gbt", "gbt_small_step")
 
@@ -77,20 +82,35 @@ def predict(model: PipelineModel, rows: DataFrame, names: list[str]) -> DataFram
     return model.transform(rows.select(*keep, *safe)).select(*keep, vector_to_array("probability")[1].alias("probability"))
 
 
+def each_fit(df: DataFrame, matrices: dict[str, tuple[list[str], list[str]]], folds: list[int], models: tuple[str, ...] | dict[str, str], rules: FitRules, use: Callable) -> list:
+    """What ``use(matrix, fold, model, fitted, train, rows, names)`` returns for each fit, in order of matrix, fold and preparation.
+
+    ``models`` are the models of every matrix, or one model by matrix.
+    """
+
+    def fits(at: tuple[str, int]) -> list:
+        (matrix, k), out = at, []
+        own = (models[matrix],) if isinstance(models, dict) else models
+        for scale in sorted({m == "logistic" for m in own}):
+            train, rows, names = prepared(df.filter(F.col("fold") != k), df.filter(F.col("fold") == k), *matrices[matrix], scale)
+            train = train.persist()
+            out += [use(matrix, k, m, fit(train, names, m, rules), train, rows, names) for m in own if (m == "logistic") == scale]
+            train.unpersist()
+        return out
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [x for xs in pool.map(fits, [(m, k) for m in matrices for k in folds]) for x in xs]
+
+
 def out_of_fold(df: DataFrame, matrices: dict[str, tuple[list[str], list[str]]], folds: list[int], models: tuple[str, ...] = MODELS, rules: FitRules = FitRules()) -> DataFrame:
     """(visit_id, fold, matrix, model, probability): each row predicted by models that have not seen its fold."""
-    out = None
-    for matrix, (numeric, categorical) in matrices.items():
-        for k in folds:
-            for scale in sorted({m == "logistic" for m in models}):
-                train, rows, names = prepared(df.filter(F.col("fold") != k), df.filter(F.col("fold") == k), numeric, categorical, scale)
-                train = train.persist()
-                for m in models:
-                    if (m == "logistic") == scale:
-                        p = predict(fit(train, names, m, rules), rows, names).select("visit_id", "fold", F.lit(matrix).alias("matrix"), F.lit(m).alias("model"), "probability")
-                        out = p if out is None else out.unionByName(p)
-                train.unpersist()
-    return out
+
+    def use(matrix, k, model, fitted, train, rows, names):
+        p = predict(fitted, rows, names).select("visit_id", "fold", F.lit(matrix).alias("matrix"), F.lit(model).alias("model"), "probability")
+        # a checkpoint lets the model go; its trees would else stay with the driver until the last fit
+        return p.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else p
+
+    return reduce(DataFrame.unionByName, each_fit(df, matrices, folds, models, rules, use))
 
 
 def importance(model: PipelineModel, names: list[str]) -> list[tuple[str, float]]:

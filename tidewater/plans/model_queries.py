@@ -1,50 +1,146 @@
-"""Queries that fit models, which SQL cannot express. The defaults of FitRules and MODELS are the full set of fits."""
+"""Queries that fit models, which SQL cannot express: four models on eight matrices in five folds, with all trees and rounds."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions import normalise as N
+from tidewater.operators import evaluation as E
 from tidewater.operators import features as X
 from tidewater.operators import modeling as M
+from tidewater.operators.audit import ConstraintError
 from tidewater.plans import bindings as B
 from tidewater.plans.bindings import query
 from tidewater.plans.feature_queries import _cohort, _qualified
 
-RULES = M.FitRules(trees=10, boost_rounds=5, small_step_rounds=5)
+RULES = M.FitRules()
+MODELS = M.MODELS
+FOLDS = (1, 2, 3, 4, 5)
+CONCEPTS, KEEP = 50, 21
 BASE = (["age"], ["sex", "visit_type"])
-FULL = (["age", "total_events", "unique_concepts", "first_hours"], ["sex", "visit_type"])
+MATRICES = {
+    "baseline": (),
+    "baseline_measurements": ("measurements",),
+    "baseline_medications": ("medications",),
+    "baseline_procedures": ("procedures",),
+    "baseline_measurements_medications": ("measurements", "medications"),
+    "baseline_measurements_procedures": ("measurements", "procedures"),
+    "baseline_medications_procedures": ("medications", "procedures"),
+    "baseline_all_domains": ("measurements", "medications", "procedures"),
+}
+#: The types of parts, the last word of a concept, stand for the domains of events: two each, so 50 concepts each.
+DOMAINS = {"measurements": ("ECONOMY", "LARGE"), "medications": ("MEDIUM", "PROMO"), "procedures": ("SMALL", "STANDARD")}
+
+
+def _domains(spark, d):
+    """The cells of each domain, and by domain and fold the features that are kept: 21 for each at most."""
+    events = _qualified(spark, d).withColumn("kind", F.element_at(F.split("concept_key", "-"), -1)).persist()
+    cells, kept = {}, {}
+    for domain, kinds in DOMAINS.items():
+        own = events.filter(F.col("kind").isin(*kinds))
+        cells[domain] = X.domain_cells(own, domain).persist()
+        top = X.top_per(X.training_counts(own, ["concept_key"]), ["fold"], [F.desc("visits"), N.concept_key(F.col("concept_key"))], CONCEPTS)
+        for r in X.selected_features(cells[domain], top, KEEP).orderBy("fold", "rank").collect():  # 21 rows for each fold
+            kept.setdefault((domain, r["fold"]), []).append(r["feature"])
+    return cells, kept
+
+
+def tables(spark, d):
+    """(fold, table, matrices) for each fold: the cohort with the features that its training visits select."""
+    cells, kept = _domains(spark, d)
+    base = _cohort(spark, d).select("visit_id", "patient_id", "outcome", "age", "sex", "visit_type", B.fold_of(F.col("patient_id")).alias("fold"))
+    for k in FOLDS:
+        parts, names = [], {domain: kept.get((domain, k), []) for domain in DOMAINS}
+        for domain, own in names.items():
+            if own:
+                parts.append(cells[domain].filter(F.col("feature").isin(own)).groupBy("visit_id").pivot("feature", own).agg(F.first("value")))
+        df = X.assemble(base, parts, "visit_id")
+        absent = {f"__{s}": v for both in (X.STATISTICS, X.AGGREGATES) for of in both.values() for s, v in of.items() if v is not None}
+        for c in (c for own in names.values() for c in own):
+            if (v := absent.get(c[c.rindex("__") :])) is not None:
+                df = df.withColumn(c, F.coalesce(F.col(f"`{c}`"), F.lit(v)))
+        # models depend on the order of rows, which a shuffle does not keep
+        df = df.repartition(4, "visit_id").sortWithinPartitions("visit_id").persist()
+        yield k, df, {m: (BASE[0] + [c for domain in of for c in names[domain]], BASE[1]) for m, of in MATRICES.items()}
+
+
+def _each(spark, d, models, use) -> list:
+    return [x for k, df, matrices in tables(spark, d) for x in M.each_fit(df, matrices, [k], models, RULES, use)]
 
 
-def table(spark, d):
-    own = _cohort(spark, d)
-    part = X.visit_aggregates(_qualified(spark, d), own)
-    base = own.select("visit_id", "patient_id", "outcome", "age", "sex", "visit_type", B.fold_of(F.col("patient_id")).alias("fold"))
-    return X.assemble(base, [part], "visit_id").persist()
+def _predictions(spark, d, at) -> DataFrame:
+    return reduce(DataFrame.unionByName, [M.out_of_fold(df, matrices, [k], MODELS, RULES) for k, df, matrices in at])
 
 
 @query("oof_predictions")
 def _(spark, d):
-    return M.out_of_fold(table(spark, d), {"baseline": BASE, "baseline_events": FULL}, [1, 2, 3, 4, 5], ("logistic",), RULES)
+    return _predictions(spark, d, tables(spark, d))
 
 
-def _fold_one(spark, d, model):
-    df = table(spark, d)
-    train, rows, names = M.prepared(df.filter("fold != 1"), df.filter("fold = 1"), *FULL, model == "logistic")
-    return M.fit(train, names, model, RULES), train, rows, names
+@query("feature_importance")
+def _(spark, d):
+    def use(matrix, fold, model, fitted, train, rows, names):
+        return [(matrix, fold, model, i, f, v) for i, (f, v) in enumerate(M.importance(fitted, names), 1)]
 
+    out = [x for xs in _each(spark, d, MODELS, use) for x in xs]  # as many rows as columns of the 160 fits
+    return spark.createDataFrame(out, "matrix string, fold int, model string, rank int, feature string, importance double")
 
-@query("feature_importance")
+
+def _selected(spark, d):
+    """The tables of the folds, all predictions, and the model of each matrix that these select."""
+    at = list(tables(spark, d))
+    oof = _predictions(spark, d, at).persist()
+    outcome = at[0][1].select("visit_id", "outcome")
+    scored = oof.withColumnRenamed("probability", "p").join(outcome, "visit_id")
+    best = {r["matrix"]: r["model"] for r in E.best_model(E.metrics(E.counts(scored, ["matrix", "model"]), ["matrix", "model"])).collect()}  # eight rows
+    return at, oof, best
+
+
+def _refits(spark, d, use) -> list:
+    """``use`` on the refit of each matrix's selected model in each fold, after its largest difference from the stored predictions."""
+    at, oof, best = _selected(spark, d)
+
+    def checked(matrix, fold, model, fitted, train, rows, names):
+        stored = oof.filter((F.col("matrix") == matrix) & (F.col("model") == model) & (F.col("fold") == fold)).select("visit_id", F.col("probability").alias("stored"))
+        both = M.predict(fitted, rows, names).join(stored, "visit_id", "full")
+        r = both.agg(F.max(F.abs(F.col("probability") - F.col("stored"))).alias("most"), F.count_if(F.col("probability").isNull() | F.col("stored").isNull()).alias("alone")).first()
+        return use(matrix, fold, model, fitted, train, rows, names, r["most"], r["alone"])
+
+    return [x for k, df, matrices in at for x in M.each_fit(df, matrices, [k], best, RULES, checked)]
+
+
+@query("refit_check")
 def _(spark, d):
-    out = []
-    for m in ("logistic", "random_forest"):
-        model, *_, names = _fold_one(spark, d, m)
-        out += [(m, i, f, v) for i, (f, v) in enumerate(M.importance(model, names), 1)]
-    return spark.createDataFrame(out, "model string, rank int, feature string, importance double")
+    out = _refits(spark, d, lambda matrix, fold, model, fitted, train, rows, names, most, alone: (matrix, fold, model, most, alone))
+    return spark.createDataFrame(out, "matrix string, fold int, model string, max_difference double, unmatched long")
+
+
+def _attributions(spark, d) -> DataFrame:
+    def use(matrix, fold, model, fitted, train, rows, names, most, alone):
+        if alone or (most or 0.0) > 1e-12:
+            raise ConstraintError(f"refit of {model} on {matrix}, fold {fold}, differs by {most} and {alone} rows from the stored predictions")
+        out = M.attribution(fitted, M.sample(train, 50, 42), M.sample(rows, 100, 42), names)
+        # encoded columns are summed back to the columns they come from
+        out = out.groupBy(F.split("feature", "=")[0].alias("feature")).agg(F.sum("mean_abs").alias("mean_abs"))
+        return [(matrix, fold, model, r["feature"], r["mean_abs"]) for r in out.collect()]  # as many rows as columns
+
+    return spark.createDataFrame([x for xs in _refits(spark, d, use) for x in xs], "matrix string, fold int, model string, feature string, mean_abs double")
 
 
 @query("attribution")
 def _(spark, d):
-    model, train, rows, names = _fold_one(spark, d, "logistic")
-    out = M.attribution(model, M.sample(train, 50, 42), M.sample(rows, 100, 42), names)
-    # encoded columns are summed back to the columns they come from
-    return out.groupBy(F.split("feature", "=")[0].alias("feature")).agg(F.sum("mean_abs").alias("mean_abs"))
+    return _attributions(spark, d)
+
+
+def summary(by_fold: DataFrame) -> DataFrame:
+    """(matrix, model, feature, mean_abs, folds, rank): means over the folds that selected a feature."""
+    mean = by_fold.groupBy("matrix", "model", "feature").agg(F.avg("mean_abs").alias("mean_abs"), F.count_distinct("fold").alias("folds"))
+    return mean.withColumn("rank", F.row_number().over(Window.partitionBy("matrix").orderBy(F.desc("mean_abs"), "feature")).cast("long"))
+
+
+@query("attribution_summary")
+def _(spark, d):
+    return summary(_attributions(spark, d))
