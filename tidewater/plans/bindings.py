@@ -87,9 +87,9 @@ def identity(spark: SparkSession, d: str) -> DataFrame:
     return frozen_cohort(spark, d).select(F.col("cohort_visit_number").alias("n"), "visit_id", "patient_id", "outcome", fold_of(F.col("patient_id")).alias("fold"))
 
 
-def scores(spark: SparkSession, d: str) -> DataFrame:
-    """Probabilities of six (matrix, model) pairs for each visit of the cohort; three decimals, so ties are many."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("matrix"), F.lit(m).alias("model")) for x in ("x1", "x2") for m in ("m1", "m2", "m3")]))
+def scores(spark: SparkSession, d: str, matrices: tuple[str, ...] = ("x1", "x2")) -> DataFrame:
+    """Probabilities of each matrix and three models for each visit of the cohort; three decimals, so ties are many."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("matrix"), F.lit(m).alias("model")) for x in matrices for m in ("m1", "m2", "m3")]))
     rows = identity(spark, d).select("*", pairs.alias("pair")).select("n", "visit_id", "patient_id", "outcome", "fold", "pair.*")
     visit = F.col("visit_id").cast("string")
     p = F.floor(1000 * (0.55 * unit_hash(F.concat_ws("|", "matrix", "model", visit)) + 0.25 * F.col("outcome") * unit_hash(F.concat_ws("|", F.lit("s"), F.col("model"), visit)))) / 1000

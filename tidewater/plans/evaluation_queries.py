@@ -10,7 +10,7 @@ from tidewater.plans import bindings as B
 from tidewater.plans.bindings import query
 
 G = ["matrix", "model"]
-REPS = 20
+REPS = 2000
 
 
 def _curve_sql(groups: str, source: str = "scores") -> str:
@@ -169,8 +169,8 @@ def _weights(spark, d):
     return E.bootstrap_weights(slots, REPS, 20260727)
 
 
-def _reps(spark, d):
-    return E.bootstrap_metrics(B.scores(spark, d), _weights(spark, d), G)
+def _reps(spark, d, matrices=("x1", "x2")):
+    return E.bootstrap_metrics(B.scores(spark, d, matrices), _weights(spark, d), G)
 
 
 @query("bootstrap_weights", "with {scores}, " + _BOOT + " select rep, patient_id, weight from w")
@@ -210,6 +210,24 @@ def _(spark, d):
     return _round(E.percentile_interval(E.paired(_reps(spark, d), [("x1", "x2")]), ["comparator", "expanded", "model", "metric"]))
 
 
+#: The prespecified pairs of a matrix and the same with one more domain.
+PAIRS = [
+    ("baseline", "baseline_measurements"), ("baseline", "baseline_medications"), ("baseline", "baseline_procedures"),
+    ("baseline_measurements", "baseline_measurements_medications"), ("baseline_medications", "baseline_measurements_medications"),
+    ("baseline_measurements", "baseline_measurements_procedures"), ("baseline_procedures", "baseline_measurements_procedures"),
+    ("baseline_medications", "baseline_medications_procedures"), ("baseline_procedures", "baseline_medications_procedures"),
+    ("baseline_measurements_medications", "baseline_all_domains"), ("baseline_measurements_procedures", "baseline_all_domains"), ("baseline_medications_procedures", "baseline_all_domains"),
+]
+ALL = tuple(dict.fromkeys(x for pair in PAIRS for x in pair))
+_ALL_SCORES = B.SCORES_SQL.replace("('x1'), ('x2')", ", ".join(f"('{x}')" for x in ALL))
+_PAIRS = "pr as (select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in PAIRS) + ") t(comparator, expanded))"
+
+
+@query("prespecified_comparisons", "with " + _ALL_SCORES + ", " + _BC + ", " + _PAIRS + ", z as (select comparator, expanded, a.model, b.auroc - a.auroc as d1, b.auprc - a.auprc as d2, a.brier - b.brier as d3 from pr join m a on a.matrix = comparator join m b on b.matrix = expanded and b.rep = a.rep and b.model = a.model), l as (select comparator, expanded, model, 'auroc_difference' as metric, d1 as v from z union all select comparator, expanded, model, 'auprc_difference', d2 from z union all select comparator, expanded, model, 'brier_improvement', d3 from z) select comparator, expanded, model, metric, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high, count(v) as valid, count(*) - count(v) as invalid from l group by comparator, expanded, model, metric")
+def _(spark, d):
+    return _round(E.percentile_interval(E.paired(_reps(spark, d, ALL), PAIRS), ["comparator", "expanded", "model", "metric"]))
+
+
 # ------------------------------------------------------------------ prediction checks
 
 
