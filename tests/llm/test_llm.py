@@ -286,6 +286,20 @@ def test_nearest_against_brute_force(spark):
     assert nearest.nearest(df.filter("vec_id < 0"), "id % 20 = 0").count() == 0
 
 
+def test_nearest_with_an_outlier_norm(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 32))[rng.integers(0, 40, 3000)] + 0.7 * rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[11] *= 8
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = 0
+    for r in nearest.nearest(df, "id % 60 = 0").groupBy("query_id").agg({"id": "collect_set"}).collect():
+        s = x @ x[r[0]]
+        s[r[0]] = -np.inf
+        found += len(set(r[1]) & set(np.lexsort((np.arange(3000), -s))[:20].tolist()))
+    assert found / (20 * 50) >= 0.9
+
+
 @pytest.mark.parametrize("group", [512, 3])
 def test_repeats_against_brute_force(odd, empty, monkeypatch, group):
     """With small groups the divided paths do the work; the results are the same."""

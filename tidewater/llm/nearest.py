@@ -1,6 +1,8 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Largest inner product becomes smallest angle: a vector gets one more coordinate that lifts all to the largest norm, a query a zero.
+Candidates are in bands of norm by powers of two, each lifted to its own largest norm in its own tables, so that a few long vectors
+do not drown the others' angles; a query searches all bands and the best by exact score are merged.
 Each table applies three rounds of random signs and a fast Hadamard transform, a pseudo-rotation, and assigns the nearest signed axis.
 A query probes the axes that lie nearest to it in each table; what it meets there is ranked exactly on the original vectors.
 
@@ -46,8 +48,8 @@ def axes(x: np.ndarray) -> np.ndarray:
     return np.concatenate((x, -x), axis=1)
 
 
-def lifted(v: np.ndarray, largest: float | None) -> np.ndarray:
-    """Unit vectors of power-of-two width; ``largest`` is the largest norm for candidates, None for queries."""
+def lifted(v: np.ndarray, largest: float | np.ndarray | None) -> np.ndarray:
+    """Unit vectors of power-of-two width; ``largest`` is the largest norm for candidates, or a column of that of each one's band, None for queries."""
     width = 1 << max(1, v.shape[1].bit_length())
     out = np.zeros((len(v), width))
     peak = np.abs(v).max(1, keepdims=True)
@@ -69,6 +71,11 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.size("v") == (width["w"] if width else 0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
+def _band(norm):
+    """The power of two of a norm; sums of squares that leave the range of doubles are the first or the last band."""
+    return F.when(norm == 0, -2000).when(norm == float("inf"), 2000).otherwise(F.floor(F.log2(norm))).cast("int")
+
+
 def _numbers(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
@@ -80,19 +87,23 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, id_col: str = "vec_id
     query that meets fewer than ``k`` probes every axis in a second pass, so it gets all if there are fewer. No rows give an empty result.
     """
     rows = written(usable(vectors, id_col, vector_col), "vectors")
-    largest = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("m")).first()["m"] or 1.0
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    rows = written(rows.withColumn("band", _band(norm)).withColumn("norm", norm), "banded")
+    largest = {r["band"]: r["m"] or 1.0 for r in rows.groupBy("band").agg(F.max("norm").alias("m")).collect()}  # at most one for each exponent
 
     def coded(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = lifted(_numbers(batch.column(1)), largest)
+            x = lifted(_numbers(batch.column(1)), np.array([largest[b] for b in batch.column(2).to_pylist()])[:, None])
             codes = np.stack([axes(rotated(x, t, seed)).argmax(1) for t in range(tables)], 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes.tolist(), pa.list_(pa.int32()))], ["id", "v", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(codes.tolist(), pa.list_(pa.int32()))], ["id", "v", "band", "codes"])
 
-    index = rows.mapInArrow(coded, "id long, v array<double>, codes array<int>").select("id", "v", F.posexplode("codes").alias("t", "code"))
-    index = written(index, "cross-polytope-index")
-    sizes = {(r["t"], r["code"]): -(-r["n"] // BLOCK) for r in index.groupBy("t", "code").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most tables x axes
+    index = rows.select("id", "v", "band").mapInArrow(coded, "id long, v array<double>, band int, codes array<int>").select("id", "v", "band", F.posexplode("codes").alias("t", "code"))
+    bands = sorted(largest)
+    number = F.array_position(F.array(*[F.lit(b) for b in bands]), F.col("band")).cast("int") - 1 if bands else F.lit(0)
+    index = written(index.select("id", "v", (number * tables + F.col("t")).cast("int").alias("t"), "code"), "cross-polytope-index")  # each band has its own tables
+    sizes = {(r["t"], r["code"]): -(-r["n"] // BLOCK) for r in index.groupBy("t", "code").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most bands x tables x axes
     if not sizes:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
     parts = rows.sparkSession.createDataFrame([(t, c, n) for (t, c), n in sorted(sizes.items())], "t int, code int, parts int")
@@ -108,9 +119,10 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, id_col: str = "vec_id
                 for t in range(tables):
                     near = axes(rotated(x, t, seed))
                     best = np.argsort(-near, axis=1, kind="stable")[:, : max(1, round(share * near.shape[1]))]
-                    at.append(np.repeat(np.arange(len(v)), best.shape[1]))
-                    t_.append(np.full(best.size, t))
-                    c_.append(best.ravel())
+                    for b in range(len(bands)):
+                        at.append(np.repeat(np.arange(len(v)), best.shape[1]))
+                        t_.append(np.full(best.size, b * tables + t))
+                        c_.append(best.ravel())
                 take = pa.array(np.concatenate(at))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(t_).astype(np.int32)), pa.array(np.concatenate(c_).astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take)], ["t", "code", "id", "v"])
 
