@@ -246,6 +246,30 @@ def _(spark, d):
     return _named(X.exposures(_qualified(spark, d), _cohort(spark, d), CONCEPTS))
 
 
+def _top_cells(spark, d, aggs):
+    """(fold, visit_id, concept_key, rank, aggs): every visit of the cohort with each of the 50 concepts of each training fold."""
+    per = _qualified(spark, d).groupBy("visit_id", "concept_key").agg(*aggs)
+    top = _topk(spark, d).select("fold", "concept_key", "rank")
+    return _cohort(spark, d).select("visit_id").crossJoin(F.broadcast(top)).join(per, ["visit_id", "concept_key"], "left")
+
+
+_CELLS = _TOP + ", per as (select linked_visit, concept_key, {aggs} from q group by 1, 2), cells as (select tk.fold, c.visit_id, tk.concept_key, tk.rank, per.* exclude (linked_visit, concept_key) from cohort c cross join (select * from tk where rank <= 50) tk left join per on per.linked_visit = c.visit_id and per.concept_key = tk.concept_key)"
+
+
+@query("measurement_features_top", _LINK + _CELLS.replace("{aggs}", "round_even(avg(value), 6) as mean, max(value) as max, min(value) as min, round_even(coalesce(stddev_samp(value), case when count(value) > 0 then 0.0 end), 6) as sd, count(value) as n") + " select fold, visit_id, concept_key, rank, mean, max, min, sd, coalesce(n, 0) as count, cast(coalesce(n, 0) = 0 as integer) as missing from cells")
+def _(spark, d):
+    sd = F.coalesce(F.stddev_samp("value"), F.when(F.count("value") > 0, 0.0))
+    cells = _top_cells(spark, d, [F.bround(F.avg("value"), 6).alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"), F.bround(sd, 6).alias("sd"), F.count("value").alias("n")])
+    n = F.coalesce("n", F.lit(0))
+    return cells.select("fold", "visit_id", "concept_key", "rank", "mean", "max", "min", "sd", n.alias("count"), (n == 0).cast("int").alias("missing"))
+
+
+@query("exposure_features_top", _LINK + _CELLS.replace("{aggs}", "count(*) as n") + " select fold, visit_id, concept_key, rank, coalesce(n, 0) as count, cast(coalesce(n, 0) > 0 as integer) as exposure from cells")
+def _(spark, d):
+    n = F.coalesce("n", F.lit(0))
+    return _top_cells(spark, d, [F.count(F.lit(1)).alias("n")]).select("fold", "visit_id", "concept_key", "rank", n.alias("count"), (n > 0).cast("int").alias("exposure"))
+
+
 _AGG = "cast(count(q.event_id) > 0 as integer) as any_event, count(distinct concept_key) as unique_concepts, count(q.event_id) as total_events, count(q.event_id) - count(distinct concept_key) as repeat_events, round(min(hours_from_start), 6) as first_hours"
 
 
