@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -14,29 +17,87 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; where it is unset, a new one on a local master, else an error."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(path)
         path = context.getCheckpointDir()
     return path.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what lies there goes when the session's file systems close, or before by ``temporary``."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, place = _files(spark, path)
+    fs.deleteOnExit(place)
+    if stack := getattr(_scratch, "stack", None):
+        stack[-1].append((spark, path))
+    return path
+
+
+_scratch = threading.local()
+_cleaning, _writers = threading.Lock(), 0
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def temporary():
+    """Tables that ``written`` makes inside are removed at the end, but for those given to the function that this yields."""
+    if not hasattr(_scratch, "stack"):
+        _scratch.stack = []
+    own: list = []
+    _scratch.stack.append(own)
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.written_to)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scratch.stack.pop()
+        for spark, path in own:
+            if path not in kept:
+                fs, place = _files(spark, path)
+                fs.delete(place, True)
+            elif _scratch.stack:
+                _scratch.stack[-1].append((spark, path))
+
+
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession):
+    """Shuffle files go when the query that made them ends; the session's own setting returns after the last writer."""
+    global _writers
+    with _cleaning:
+        if not _writers:
+            _shuffles_freed.before = spark.conf.get(_CLEANUP, "false")
+        _writers += 1
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _cleaning:
+            _writers -= 1
+            if not _writers:
+                spark.conf.set(_CLEANUP, _shuffles_freed.before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, is computed once and survives lost executors."""
-    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path, before = new_path(spark, name), spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")  # the shuffle files of this write are of no more use after it
-    try:
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with _shuffles_freed(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(cleanup, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -44,8 +105,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Removes the files of a table from ``written`` that no later step reads."""
-    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
-    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    fs, place = _files(table.sparkSession, table.written_to)
+    fs.delete(place, True)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,7 +161,6 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _R = np.uint64(0x2545F4914F6CDD1D)
 _RINV = np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
 _S32 = np.uint64(32)
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -115,13 +175,33 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _M1)
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 22), base, np.uint64)
-        steps[0] = 1
-        have = _powers[name] = np.multiply.accumulate(steps)
-    return have[:n]
+def _steps(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(max(1, n), base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class _Power:
+    """Powers of a base: a small table of the low part, another of the high part, grown as texts ask for it."""
+
+    def __init__(self, base: np.uint64):
+        self.low, self.base = _steps(base, 1024), np.uint64(pow(int(base), 1024, 1 << 64))
+        self.high = _steps(self.base, 2048)
+
+    def _grow(self, n: int) -> None:
+        if n > len(self.high) << 10:
+            self.high = _steps(self.base, (n >> 10) + 2)
+
+    def first(self, n: int) -> np.ndarray:
+        self._grow(n)
+        return np.multiply.outer(self.high[: (n + 1023) >> 10], self.low).ravel()[:n]
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        self._grow(int(i.max()) + 1 if len(i) else 0)
+        return self.high[i >> 10] * self.low[i & 1023]
+
+
+POWER, INVERSE = _Power(_R), _Power(_RINV)
 
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,11 +214,11 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.concatenate((np.zeros(0 if space[0] else 1, np.int64), edge, np.zeros(0, np.int64) if space[-1] else np.array([len(b)])))
     starts, ends = edge[0::2], edge[1::2]
     total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * _power("r", _R, len(b)), out=total[1:])
-    return starts, ends, mix((total[ends] - total[starts]) * _power("rinv", _RINV, len(b))[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(_BYTE[b] * POWER.first(len(b)), out=total[1:])
+    return starts, ends, mix((total[ends] - total[starts]) * INVERSE.at(starts) + (ends - starts).astype(np.uint64))
 
 
-def blocks_of(texts: list[bytes], most: int = 1 << 21):
+def blocks_of(texts: list[bytes], most: int = 1 << 20):
     """Runs (first, last, bytes, starts) of texts joined by newlines, of about ``most`` bytes or one text."""
     first, size = 0, 0
     for i, t in enumerate(texts):
@@ -173,7 +253,16 @@ def encoded(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def pieces(batches, most: int = 1 << 24, column: str = "text"):
+def trimmed() -> None:
+    """Gives freed memory back, as workers outlive their tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def pieces(batches, most: int = 1 << 22, column: str = "text"):
     """Record batches cut so that each has about ``most`` bytes of text or one row."""
     import pyarrow.compute as pc
 
@@ -187,3 +276,4 @@ def pieces(batches, most: int = 1 << 24, column: str = "text"):
             last = max(first + 1, int(np.searchsorted(total, base + most, "right")))
             yield batch.slice(first, last - first)
             first = last
+    trimmed()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import _BYTE, _R, _RINV, _power, blocks_of, discard, encoded, mix, ngram_hashes, pieces, same_key, word_hashes, written
+from tidewater.llm.common import _BYTE, _R, INVERSE, POWER, blocks_of, discard, encoded, mix, ngram_hashes, pieces, same_key, word_hashes, written
 
 #: The most distinct segments that are held together.
 GROUP = 512
@@ -101,9 +101,9 @@ def segments(texts: list[bytes], unit: Unit) -> dict[str, np.ndarray]:
         s, e = s[keep], e[keep]
         a = anchor[s]
         total = np.zeros(len(value) + 1, np.uint64)
-        np.cumsum(value * _power("r", _R, len(value)), out=total[1:])
+        np.cumsum(value * POWER.first(len(value)), out=total[1:])
         which = doc[s]
-        key = (total[e - 1 + unit.width] - total[s]) * _power("rinv", _RINV, len(value))[s]
+        key = (total[e - 1 + unit.width] - total[s]) * INVERSE.at(s)
         out["text"].append(which + first)
         out["h"].append(g[a].view(np.int64))
         out["s"].append(s - base[which])
@@ -117,7 +117,7 @@ def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
     """(h, did, th, s, n, o, sk) of every segment of ``docs`` (did, th, text)."""
 
     def run(batches):
-        for batch in pieces(batches, 1 << 23):
+        for batch in pieces(batches):
             found = segments(encoded(batch.column(2)), unit)
             at = pa.array(found["text"])
             cols = [pa.array(found["h"]), batch.column(0).take(at), batch.column(1).take(at), *(pa.array(found[c].astype(np.int32)) for c in "sno"), pa.array(found["sk"])]
@@ -146,7 +146,7 @@ def _extract(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
     lists = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("h", "sk", "s", "n", "o", "m", "g")).alias("want"))
 
     def run(batches):
-        for batch in pieces(batches, 1 << 22):
+        for batch in pieces(batches):
             rows = []
             for data, want in zip(encoded(batch.column(0)), batch.column(1).to_pylist()):
                 cut = _cut(data, unit)

@@ -9,8 +9,17 @@ import numpy as np
 
 #: White space about which the library's patterns and Python's may differ; texts with it, or with special tokens, take the plain path.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]|<\\|")
-#: Entries of a worker's cache; it starts anew when full.
-CACHE = 700_000
+#: Its beginnings in UTF-8; a batch with none of them needs no closer look.
+_LEADS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80\x80", b"\xef\xbb\xbf", b"<|")
+#: Bytes of a worker's cache of chunks, entries counted at about their real size. It has a new and an old half: what is used again moves
+#: to the new one, which becomes the old one when it is full.
+CACHE = 112 << 20
+_ENTRY = 190
+#: The splits that the chunks below are made for. A model with another one, or with other normalisation, takes the plain path.
+_KNOWN = {
+    "spaced": ("ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)", "None"),
+    "words": (r"""Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])""", r"""Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])"""),
+}
 _workers: dict[str, "Encoder"] = {}
 
 
@@ -35,13 +44,13 @@ class Encoder:
         self.between = "\n" if spaced else " 0 "
         self.mark = self.model.encode(self.between, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.plain = (str(self.model.pre_tokenizer), str(self.model.normalizer)) == _KNOWN[kind]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > CACHE:
-            self.known = {}
         easy = [c for c in chunks if self.letters(c)] if len(self.mark) == 1 else []
         for i in range(0, len(easy), 20_000):
             some = easy[i : i + 20_000]
@@ -56,13 +65,23 @@ class Encoder:
         self.known.update(zip(hard, self._library(hard)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [i for i, t in enumerate(texts) if not _ODD.search(t)]
+        if not self.plain:
+            return self._library(texts)
+        whole = "\n".join(texts).encode()
+        odd = any(x in whole for x in _LEADS)
+        del whole
+        plain = [i for i, t in enumerate(texts) if not _ODD.search(t)] if odd else range(len(texts))
         chunks = [self.split(texts[i]) for i in plain]
-        if missing := set(chain.from_iterable(chunks)).difference(self.known):
-            before = self.known
+        here = set(chain.from_iterable(chunks))
+        missing = here.difference(self.known)
+        if (len(self.known) + len(missing)) * _ENTRY > CACHE // 2:
+            self.known, self.old = {c: self.known[c] for c in here.intersection(self.known)}, self.known
+        if again := missing.intersection(self.old):
+            self.known.update((c, self.old[c]) for c in again)
+            missing -= again
+        if missing:
             self._learn(missing)
-            if self.known is not before:  # it started anew
-                self._learn(set(chain.from_iterable(chunks)).difference(self.known))
+        del here, missing, again
         get = self.known.__getitem__
         out: list[bytes | None] = [None] * len(texts)
         for i, c in zip(plain, chunks):
