@@ -229,6 +229,51 @@ def test_jaccard_join(odd, empty):
     assert jaccard_join.near_groups(empty).count() == 0
 
 
+def test_jaccard_join_tells_sets_apart_by_more_than_their_names(odd):
+    out = jaccard_join.near_groups(odd, mask=15).collect()
+    assert Counter((r["did"], r["n_shingles"], r["component_id"]) for r in out) == _components(REPEATED)
+
+
+@pytest.mark.parametrize("block", [1024, 100])
+def test_jaccard_join_of_many_near_and_far_copies(spark, monkeypatch, block):
+    """2,000 copies of a text, and 300 of a far copy of it, with up to twelve words changed; all pairs by one dense product."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = np.random.default_rng(21)
+    base = list(rng.choice(_WORDS, 110))
+    other = list(base)
+    for i in range(0, 110, 7):
+        other[i] = f"other{i}"
+    texts = []
+    for i in range(2300):
+        w = list(base if i < 2000 else other)
+        for j in rng.choice(110, rng.integers(1, 13), replace=False):
+            w[j] = f"w{rng.integers(0, 40)}"
+        texts.append(" ".join(w))
+    out = {r["did"]: r for r in jaccard_join.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)).collect()}
+    number: dict = {}
+    sets = [{number.setdefault(tuple(w[i : i + 5]), len(number)) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    m = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, list(s)] = 1
+    size, common = m.sum(1), m @ m.T
+    near = 100 * common >= 80 * (size[:, None] + size[None, :] - common)
+    want = np.arange(len(sets))
+    while True:
+        least = np.where(near, want[None, :], len(sets)).min(1)
+        if (least == want).all():
+            break
+        want = least
+    assert [out[i]["component_id"] for i in range(len(sets))] == want.tolist()
+    assert len(set(want.tolist())) > 1000 and np.bincount(want).max() > 300  # far copies stay apart, near ones meet
+
+
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1)) for _ in range(2))
+        assert jaccard_join.least_difference(jaccard_join.sketch(a), jaccard_join.sketch(b)) <= len(np.setxor1d(a, b))
+
+
 def _plain_stats(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     three = Counter(zip(words, words[1:], words[2:]))

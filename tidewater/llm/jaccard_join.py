@@ -66,6 +66,22 @@ def node(s: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)[0]), int(two.view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Whether each cell of a table of one to two cells an element holds an odd number of elements, as bits."""
+    cells = 1 << max(3, len(s).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the elements that one of two sets has and the other lacks, from their sketches."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):  # the larger table is folded
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def describe(docs: DataFrame, k: int, mask: int = -1) -> DataFrame:
     """One pass over the texts: (kind 0) a row for each text, (kind 1) shingles that several texts of one batch have."""
 
@@ -87,10 +103,11 @@ def describe(docs: DataFrame, k: int, mask: int = -1) -> DataFrame:
                 pa.array([*(x & mask for x, _ in nodes), *h.tolist()], pa.int64()),
                 pa.array([*(y for _, y in nodes), *none], pa.int64()),
                 pa.array([*map(len, sets), *c.tolist()], pa.int64()),
+                pa.array([*map(sketch, sets), *none], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(cols, ["kind", "did", "th", "c", "d", "n"])
+            yield pa.RecordBatch.from_arrays(cols, ["kind", "did", "th", "c", "d", "n", "sketch"])
 
-    return docs.mapInArrow(run, "kind int, did long, th long, c long, d long, n long")
+    return docs.mapInArrow(run, "kind int, did long, th long, c long, d long, n long, sketch binary")
 
 
 def postings(docs: DataFrame, common: np.ndarray, k: int, percent: int, clash: frozenset[int] = frozenset(), mask: int = -1) -> DataFrame:
@@ -340,6 +357,22 @@ def _sets(docs: DataFrame, texts: DataFrame, nodes: DataFrame, k: int) -> DataFr
     return same_key(docs, one, "inner").select("c", "text").dropDuplicates(["c"]).mapInArrow(sets, "c long, s binary")
 
 
+def _plausible(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may be as similar as asked by their sketches, which are a sixtieth of their sets."""
+    nodes = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    found = written(texts.select("c", "n", "sketch").join(nodes, "c", "left_semi").dropDuplicates(["c"]), "sketches")
+    left = pairs.join(found.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
+    both = left.join(found.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b")
+
+    def run(batches):
+        for batch in batches:
+            size = np.asarray(batch.column(2), np.int64) + np.asarray(batch.column(3), np.int64)
+            least = np.array([least_difference(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5))], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((100 + percent) * least <= (100 - percent) * size))
+
+    return both.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long")
+
+
 def _similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are as similar as asked, as links (u, v)."""
     nodes = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
@@ -364,13 +397,14 @@ def _links(own: DataFrame, texts: DataFrame, rows: DataFrame, k: int, percent: i
     """Links (u, v) that connect whatever chains of similar sets connect, from the first shingles of all sets."""
     tables = [rows.select("h", "c", "n", "i", (2 * percent * F.col("n").cast("long")).alias("u"), (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1).cast("int").alias("first"), F.col("n").alias("size"))]
     follow: list[DataFrame | None] = []
-    near = None
+    near = sets = None
     for _ in range(LEVELS):
         refs = _references(tables[-1])
         follow.append(refs)
         if refs is None:
             break
-        sets = written(_sets(own, texts, refs.select("c").unionByName(refs.select(F.col("ref").alias("c"))).distinct(), k), "sets")
+        if sets is None:  # later references are among these sets
+            sets = written(_sets(own, texts, refs.select("c").unionByName(refs.select(F.col("ref").alias("c"))).distinct(), k), "sets")
         differ = written(_differences(sets, refs, percent), "differences")
         close = differ.filter("near").select(F.col("c").alias("u"), F.col("ref").alias("v"))
         near = close if near is None else near.unionByName(close)
@@ -387,7 +421,8 @@ def _links(own: DataFrame, texts: DataFrame, rows: DataFrame, k: int, percent: i
     met = met.groupBy("a", "b", "level").agg(F.first("u").alias("u"), F.sum("c").alias("c"), F.min("ra").alias("ra"), F.min("rb").alias("rb"))
     reach = 2 * (100 + percent) * (F.col("c") + F.least("ra", "rb"))
     met = written(met.filter(reach >= F.col("u")).select("a", "b").distinct(), "pairs")
-    links = _similar(own, texts, met, k, percent)
+    met = written(_plausible(texts, met, percent), "plausible")
+    links = written(_similar(own, texts, met, k, percent), "far-links")
     return links if near is None else links.unionByName(near)
 
 
@@ -406,7 +441,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         clash = [r["c"] for r in texts.groupBy("c").agg(F.min("d").alias("x"), F.max("d").alias("y")).filter("x != y").select("c").collect()]
         if clash:
             texts = texts.withColumn("c", F.when(F.col("c").isin(clash), F.col("c").bitwiseXOR(F.col("d"))).otherwise(F.col("c")))
-        texts = texts.select("did", "th", "c", "n")
+        texts = texts.select("did", "th", "c", "n", "sketch")
         often = seen.filter("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(COMMON)
         rows = written(_shared(postings(own, _sorted(often), k, percent, frozenset(clash), mask)), "shared-shingles")
         joined = components(_links(own, texts.filter("n > 0"), rows, k, percent))
