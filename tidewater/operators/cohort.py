@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.normalise import canonical_float
+from tidewater.operators.audit import checked, sole
 from tidewater.operators.numbering import numbered
 
 
@@ -44,9 +46,13 @@ def age_by_birth(start: Column, birth: Column) -> Column:
 
 
 def base(encounters: DataFrame, patients: DataFrame, deaths: DataFrame, rules: CohortRules) -> DataFrame:
-    """Encounters with patient, age, death and the time anchors; one row for each encounter."""
-    df = encounters.join(patients, "patient_id", "left").withColumn("age", age_by_anchor(F.col("start")).cast("double"))
-    df = df.join(deaths.select("patient_id", "death_datetime", "death_date", "death_time_precision"), "patient_id", "left")
+    """Encounters with patient, age, death and the time anchors; one row for each encounter.
+
+    Deaths are of the visit where they have a visit_id, else of the patient. The query fails if a patient or a death is there twice.
+    """
+    df = encounters.join(sole(patients, ["patient_id"]), "patient_id", "left").withColumn("age", age_by_anchor(F.col("start")).cast("double"))
+    keys = [c for c in ("patient_id", "visit_id") if c in deaths.columns]
+    df = df.join(sole(deaths.select(*keys, "death_datetime", "death_date", "death_time_precision"), keys), keys, "left")
     df = df.withColumn("landmark", F.col("start") + hours(rules.landmark_hours)).withColumn("horizon", F.col("start") + days(rules.horizon_days))
     end = F.col("start") + hours(rules.window_hours)
     return df.withColumn("predictor_end", F.least(end, F.col("end")) if rules.end_at_discharge else end)
@@ -92,11 +98,13 @@ def gated(df: DataFrame, rules: CohortRules) -> DataFrame:
 
 def attrition(df: DataFrame) -> DataFrame:
     """(step_no, step, visits, patients) after each gate, in one pass over the gated rows."""
-    steps = F.array(*[F.when(F.col(f"g{i}"), F.struct(F.lit(i).alias("step_no"), F.lit(s).alias("step"))) for i, s in enumerate(STEPS, 1)])
-    rows = df.select("patient_id", F.explode(F.array_compact(steps)).alias("s")).select("patient_id", "s.*")
-    # a row for each patient and step first, so that one patient's visits meet before the distinct count
-    per = rows.groupBy("step_no", "step", "patient_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("step_no", "step").agg(F.sum("n").alias("visits"), F.count(F.lit(1)).alias("patients"))
+    # gates include those before, so a row is at a number of steps, and a patient at as many as the row that went furthest
+    gates = [F.col(f"g{i}").cast("int") for i in range(1, len(STEPS) + 1)]
+    rows = df.select("patient_id", sum(gates[1:], gates[0]).alias("at"))
+    per = rows.groupBy("patient_id").agg(F.max("at").alias("most"), *[F.count_if(F.col("at") >= i).alias(f"v{i}") for i in range(1, len(STEPS) + 1)])
+    one = per.agg(*[F.coalesce(F.sum(f"v{i}"), F.lit(0)).alias(f"v{i}") for i in range(1, len(STEPS) + 1)], *[F.count_if(F.col("most") >= i).alias(f"p{i}") for i in range(1, len(STEPS) + 1)])
+    cells = F.array(*[F.struct(F.lit(i).alias("step_no"), F.lit(s).alias("step"), F.col(f"v{i}").alias("visits"), F.col(f"p{i}").alias("patients")) for i, s in enumerate(STEPS, 1)])
+    return one.select(F.explode(cells).alias("s")).select("s.*").filter("visits > 0")
 
 
 def cohort(df: DataFrame, order: tuple[str, ...] = ("start", "patient_id", "visit_id")) -> DataFrame:
@@ -131,3 +139,21 @@ def count_comparison(observed: DataFrame, expected: DataFrame, keys: list[str])
     both = expected.join(observed, keys, "full_outer")
     diff = F.abs(F.col("observed") - F.col("expected"))
     return both.select(*keys, "expected", "observed", diff.alias("absolute_difference"), "tolerance", F.coalesce(diff <= F.col("tolerance"), F.lit(False)).alias("matches"))
+
+
+def require_counts(observed: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """The comparison of counts; its query fails at the first that is missing or off by more than its tolerance."""
+    return checked(count_comparison(observed, expected, keys), {"a count is not what is expected": F.col("matches")})
+
+
+def override(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Attributes at admission win over the patient's where they are known: {attribute: its column at admission}."""
+    return df.withColumns({name: F.coalesce(own, name) for name, own in names.items()})
+
+
+BASELINE = ("cohort_visit_number", "visit_id", "patient_id", "sex", "race", "visit_type")
+
+
+def baseline(df: DataFrame, columns: tuple[str, ...] = BASELINE) -> DataFrame:
+    """The numbered cohort's baseline columns, age rounded to eight decimals, and the outcome."""
+    return df.select(*columns, canonical_float(F.col("age")).alias("age"), "outcome")

@@ -1,6 +1,7 @@
 """Discrimination, calibration, utility and cluster-bootstrap tables.
 
-Rows are counted by (group, score) first; every curve is a window over distinct scores, so a group's rows never meet in one task.
+Rows are counted by (group, score) first; every curve is a running sum over distinct scores in pieces of their range, so neither a
+group's rows nor its scores meet in one task.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.normalise import unit_hash
+from tidewater.operators.audit import checked
+from tidewater.operators.numbering import place_within, running
 
 
 def counts(df: DataFrame, groups: list[str], weight: Column | None = None) -> DataFrame:
@@ -19,9 +22,7 @@ def counts(df: DataFrame, groups: list[str], weight: Column | None = None) -> Da
 
 def curve(by_score: DataFrame, groups: list[str]) -> DataFrame:
     """Adds tp, fp (at or above the score) and the totals all_pos, all_neg."""
-    down = Window.partitionBy(*groups).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*groups)
-    return by_score.select("*", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(all_).alias("all_pos"), F.sum("neg").over(all_).alias("all_neg"))
+    return running(by_score, groups, "p", ["pos", "neg"], down=True).withColumnsRenamed({"to_pos": "tp", "to_neg": "fp"})
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -97,7 +98,8 @@ def top_risk(df: DataFrame, by_score: DataFrame, groups: list[str], fraction: fl
     above = c.withColumn("k", k).withColumn("at", F.col("tp") + F.col("fp"))
     cut = above.filter(F.col("at") >= F.col("k")).groupBy(*groups).agg(F.max("p").alias("cutoff"), F.first("k").alias("k"), F.first("all_pos").alias("all_pos"), F.first("all_neg").alias("all_neg"))
     over = above.join(cut.select(*groups, "cutoff"), groups).groupBy(*groups).agg(F.sum(F.when(F.col("p") > F.col("cutoff"), F.col("pos")).otherwise(0)).alias("pa"), F.sum(F.when(F.col("p") > F.col("cutoff"), F.col("pos") + F.col("neg")).otherwise(0)).alias("na"))
-    tied = df.join(cut.select(*groups, "cutoff"), groups).filter(F.col("p") == F.col("cutoff")).withColumn("r", F.row_number().over(Window.partitionBy(*groups).orderBy("n")))
+    tied = df.join(cut.select(*groups, "cutoff"), groups).filter(F.col("p") == F.col("cutoff"))
+    tied = place_within(tied, groups, F.shiftright(F.col("n").cast("long"), 16), ["n"], "r")
     some = tied.join(cut.select(*groups, "k").join(over, groups), groups).groupBy(*groups).agg(F.sum(F.when(F.col("r") <= F.col("k") - F.col("na"), F.col("outcome")).otherwise(0)).alias("pt"), F.count(F.lit(1)).alias("ties"), F.count_if(F.col("r") <= F.col("k") - F.col("na")).alias("ties_flagged"))
     out = cut.join(over, groups).join(some, groups).withColumn("captured", F.col("pa") + F.col("pt"))
     return out.select(*groups, F.col("k").cast("long").alias("flagged"), "captured", (F.col("captured") / F.col("all_pos")).alias("capture"), (F.col("captured") / F.col("k")).alias("ppv"), (F.col("captured") / F.col("k") / (F.col("all_pos") / (F.col("all_pos") + F.col("all_neg")))).alias("enrichment"), "cutoff", "ties", "ties_flagged")
@@ -109,10 +111,9 @@ def calibration_bins(df: DataFrame, groups: list[str], bins: int = 10) -> DataFr
     A row's place is the number of rows of lower scores plus its place among equal ones.
     """
     per = df.groupBy(*groups, "p").agg(F.count(F.lit(1)).alias("c"))
-    up = Window.partitionBy(*groups).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    below = per.select(*groups, "p", F.coalesce(F.sum("c").over(up), F.lit(0)).alias("below"), F.sum("c").over(Window.partitionBy(*groups)).alias("total"))
-    i = F.row_number().over(Window.partitionBy(*groups, "p").orderBy("n")) - 1
-    placed = df.withColumn("i", i).join(below, [*groups, "p"]).withColumn("bin", (F.floor((F.col("below") + F.col("i")) * bins / F.col("total")) + 1).cast("long"))
+    below = running(per, groups, "p", ["c"]).select(*groups, "p", (F.col("to_c") - F.col("c")).alias("below"), F.col("all_c").alias("total"))
+    placed = place_within(df, [*groups, "p"], F.shiftright(F.col("n").cast("long"), 16), ["n"], "i").join(below, [*groups, "p"])
+    placed = placed.withColumn("bin", (F.floor((F.col("below") + F.col("i") - 1) * bins / F.col("total")) + 1).cast("long"))
     b = placed.groupBy(*groups, "bin").agg(F.count(F.lit(1)).alias("count"), F.sum("outcome").alias("events"), F.avg("p").alias("mean_p"), F.min("p").alias("min_p"), F.max("p").alias("max_p"))
     z, rate, n = 1.959963984540054, F.col("events") / F.col("count"), F.col("count")
     mid = (rate + z * z / (2 * n)) / (1 + z * z / n)
@@ -220,6 +221,21 @@ def oof_coverage(scores: DataFrame, identity: DataFrame) -> DataFrame:
     return repeats.unionByName(missing).unionByName(folds).unionByName(bounds)
 
 
+def aligned(scores: DataFrame, identity: DataFrame) -> DataFrame:
+    """``identity`` with the probabilities of each (matrix, model); the query fails where a visit lacks one or has another fold."""
+    pairs = scores.select("matrix", "model").distinct()
+    rows = identity.crossJoin(F.broadcast(pairs)).join(scores.select("n", "matrix", "model", F.col("fold").alias("scored_fold"), "p"), ["n", "matrix", "model"], "left")
+    return checked(rows, {"a visit lacks a probability": F.col("p").isNotNull(), "a probability is of another fold": F.col("fold") == F.col("scored_fold")}).drop("scored_fold")
+
+
+def require_run(scores: DataFrame, folds: int = 5, matrices: int = 8, models: int = 4) -> DataFrame:
+    """One row of (folds, matrices, models, fits, least and most probabilities of a visit); an error if they are not what a run must have."""
+    per = scores.groupBy("n").agg(F.count(F.lit(1)).alias("c")).agg(F.min("c").alias("least"), F.max("c").alias("most"))
+    seen = scores.select("fold", "matrix", "model").distinct().agg(F.count_distinct("fold").alias("folds"), F.count_distinct("matrix").alias("matrices"), F.count_distinct("model").alias("models"), F.count(F.lit(1)).alias("fits")).crossJoin(F.broadcast(per))
+    want = {"folds": folds, "matrices": matrices, "models": models, "fits": folds * matrices * models, "least": matrices * models, "most": matrices * models}
+    return checked(seen, {f"{k} is not {v}": F.col(k) == v for k, v in want.items()})
+
+
 def hash_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """All rows if there are at most ``n``, else those of least hash of the key."""
     return df.withColumn("__h", unit_hash(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).orderBy("__h", key).limit(n).drop("__h")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.normalise import canonical_float
-from tidewater.operators.numbering import numbered
+from tidewater.operators.audit import checked, sole
+from tidewater.operators.numbering import numbered, place_within, running
+from tidewater.sources.shared import frozen
 
 
 def patient_folds(cohort: DataFrame, k: int, seed: int) -> DataFrame:
@@ -22,8 +24,9 @@ def stratified_folds(cohort: DataFrame, k: int, seed: int) -> DataFrame:
     """(patient_id, fold): within patients of as many visits and outcomes, in turn by hash order."""
     p = cohort.groupBy("patient_id").agg(F.count(F.lit(1)).alias("v"), F.sum("outcome").alias("o"))
     order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("patient_id").cast("string")), 256)
-    stratum = [F.least("v", F.lit(5)), F.least("o", F.lit(2))]
-    return p.withColumn("__h", order).withColumn("fold", ((F.row_number().over(Window.partitionBy(*stratum).orderBy("__h", "patient_id")) - 1) % k + 1).cast("long")).select("patient_id", "fold")
+    p = p.select("patient_id", F.least("v", F.lit(5)).alias("v"), F.least("o", F.lit(2)).alias("o"), order.alias("__h"))
+    part = F.conv(F.substring("__h", 1, 4), 16, 10).cast("int")  # strata are few, so each is placed in pieces of the hash's range
+    return place_within(p, ["v", "o"], part, ["__h", "patient_id"], "__r").select("patient_id", ((F.col("__r") - 1) % k + 1).cast("long").alias("fold"))
 
 
 def training_counts(df: DataFrame, keys: list[str], count: str = "visits") -> DataFrame:
@@ -131,11 +134,131 @@ def mutual_information(long: DataFrame) -> DataFrame:
     return p.groupBy("feature").agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("a") * F.col("b")))).alias("mi"))
 
 
+def _by_value(long: DataFrame, *more: str) -> tuple[DataFrame, list]:
+    """Counts n of (feature, value, more), with one column f<fold> for each fold's own, and the folds. They are written once."""
+    cells = frozen(long.groupBy("feature", "value", *more, "fold").agg(F.count(F.lit(1)).alias("n")), "value-counts")
+    folds = sorted(r["fold"] for r in cells.select("fold").distinct().collect())  # as many as the configuration has
+    own = [F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("n"))), F.lit(0)).alias(f"f{f}") for f in folds]
+    return cells.groupBy("feature", "value", *more).agg(F.sum("n").alias("n"), *own), folds
+
+
+def training_medians(cells: DataFrame, folds: list) -> DataFrame:
+    """(fold, feature, med): the exact median of each feature's values outside each fold, from counts by value; no row is copied."""
+    known = cells.filter("value is not null").groupBy("feature", "value").agg(*[F.sum(c).alias(c) for c in ("n", *[f"f{f}" for f in folds])])
+    c = running(known, ["feature"], "value", ["n", *[f"f{f}" for f in folds]])
+    picks = []
+    for f in folds:
+        size, upto = F.col("all_n") - F.col(f"all_f{f}"), F.col("to_n") - F.col(f"to_f{f}")
+        held = F.col("n") > F.col(f"f{f}")
+        at = [F.min(F.when(held & (upto >= rank), F.col("value"))) for rank in (F.floor((size + 1) / 2), F.floor(size / 2) + 1)]
+        picks.append(F.struct(F.lit(f).alias("fold"), at[0].alias("low"), at[1].alias("high")).alias(f"p{f}"))
+    one = c.groupBy("feature").agg(*picks).select("feature", F.explode(F.array(*[f"p{f}" for f in folds])).alias("x"))
+    return one.select("x.fold", "feature", (F.col("x.low") + (F.col("x.high") - F.col("x.low")) * 0.5).alias("med"))
+
+
 def median_impute(long: DataFrame) -> DataFrame:
     """``long`` with nulls replaced by the exact median of the feature's rows outside the row's fold."""
-    folds = long.select("fold").distinct().withColumnRenamed("fold", "of")
-    med = long.join(F.broadcast(folds), F.col("fold") != F.col("of")).groupBy("of", "feature").agg(F.median("value").alias("med"))
-    return long.join(med.withColumnRenamed("of", "fold"), ["fold", "feature"], "left").withColumn("value", F.coalesce("value", "med")).drop("med")
+    med = training_medians(*_by_value(long)).withColumn("fold", F.col("fold").cast(long.schema["fold"].dataType))
+    return long.join(F.broadcast(med), ["fold", "feature"], "left").withColumn("value", F.coalesce("value", "med")).drop("med")
+
+
+def information_ranking(long: DataFrame, keep: int = 21, bins: int = 10) -> DataFrame:
+    """(fold, feature, mi, rank): for each fold the ``keep`` features of most mutual information with the outcome outside it, in nats.
+
+    ``long`` is (fold, feature, value, outcome); nulls count as the fold's training median. Features named as flags or counts are
+    discrete, others are cut at the training deciles of their fold. Rows are counted by value once; folds are taken off the counts.
+    Ties go by name.
+    """
+    cells, names = _by_value(long, "outcome")
+    med = training_medians(cells, names).select(F.col("fold").alias("of"), "feature", "med")
+    outside = F.explode(F.array(*[F.struct(F.lit(f).alias("of"), (F.col("n") - F.col(f"f{f}")).alias("n")) for f in names])).alias("x")
+    train = cells.select("feature", "value", "outcome", outside).select("x.of", "feature", "value", "outcome", "x.n").filter("n > 0")
+    train = train.join(F.broadcast(med), ["of", "feature"], "left").groupBy("of", "feature", F.coalesce("value", "med").alias("value"), "outcome").agg(F.sum("n").alias("n"))
+    train = frozen(train, "training-counts")
+    discrete = F.col("feature").rlike("(__missing|__count|__exposure|__any|__unique|__repeat|__total)$")
+    smooth = train.filter(~discrete)
+    each = smooth.filter("value is not null").groupBy("of", "feature", "value").agg(F.sum("n").alias("n"))
+    placed = running(each, ["of", "feature"], "value", ["n"]).select("of", "feature", "value", F.floor((F.col("to_n") - F.col("n")) * bins / F.col("all_n")).cast("double").alias("bin"))
+    binned = smooth.join(placed, ["of", "feature", "value"]).groupBy("of", "feature", F.col("bin").alias("value"), "outcome").agg(F.sum("n").alias("n"))
+    both = train.filter(discrete & F.col("value").isNotNull()).unionByName(binned)
+    v = both.groupBy("of", "feature", "value").agg(F.sum("n").alias("a"))
+    y = both.groupBy("of", "feature", "outcome").agg(F.sum("n").alias("b"))
+    t = both.groupBy("of", "feature").agg(F.sum("n").alias("t"))
+    joined = both.join(v, ["of", "feature", "value"]).join(y, ["of", "feature", "outcome"]).join(t, ["of", "feature"])
+    mi = joined.groupBy(F.col("of").alias("fold"), "feature").agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("a") * F.col("b")))).alias("mi"))
+    return top_per(mi.withColumn("__s", F.round("mi", 10)), ["fold"], [F.desc("__s"), F.col("feature")], keep).drop("__s")
+
+
+# ------------------------------------------------------------------ units, ranks and gates
+
+
+def confirmed_units(events: DataFrame, rules: list[tuple[str, str, float, float]], allowed: dict[str, list[str]] | None = None, default: tuple[str, ...] = ()) -> DataFrame:
+    """``events`` with value in the confirmed unit and unit_status: converted, allowed or invalid (value null).
+
+    ``rules``: (concept, unit, factor, offset), an empty concept standing for all. Else the unit must be on the concept's list, or on
+    the default list where the concept has none. Units compare trimmed and in lower case.
+    """
+    spark = events.sparkSession
+    unit = F.lower(F.trim("unit"))
+    table = spark.createDataFrame([(c, u.strip().lower(), float(f), float(o)) for c, u, f, o in rules], "rc string, ru string, factor double, offset double")
+    own, every = table.filter("rc != ''"), table.filter("rc = ''").select(F.col("ru").alias("eu"), F.col("factor").alias("ef"), F.col("offset").alias("eo"))
+    rows = events.join(F.broadcast(own), (F.col("concept_key") == F.col("rc")) & (unit == F.col("ru")), "left").join(F.broadcast(every), unit == F.col("eu"), "left")
+    listed = spark.createDataFrame([(c, [x.strip().lower() for x in us]) for c, us in (allowed or {}).items()], "lc string, units array<string>")
+    rows = rows.join(F.broadcast(listed), F.col("concept_key") == F.col("lc"), "left")
+    fine = F.coalesce(F.when(F.col("units").isNotNull(), F.array_contains("units", F.coalesce(unit, F.lit("")))).otherwise(unit.isin(*[x.lower() for x in default]) if default else F.lit(False)), F.lit(False))
+    factor, offset = F.coalesce("factor", "ef"), F.coalesce("offset", "eo")
+    value = F.when(factor.isNotNull(), F.col("value") * factor + offset).when(fine, F.col("value"))
+    status = F.when(factor.isNotNull(), "converted").when(fine, "allowed").otherwise("invalid")
+    return rows.withColumn("unit_status", status).withColumn("value", value).drop("rc", "ru", "factor", "offset", "eu", "ef", "eo", "lc", "units")
+
+
+def unit_exclusions(events: DataFrame, modal: DataFrame) -> DataFrame:
+    """(fold, unit, excluded): rows outside each fold whose unit is not their concept's modal one; a null modal unit matches nothing.
+
+    The query fails if a concept has more than one modal unit in a fold.
+    """
+    one = sole(modal.select("fold", "concept_key", F.col("unit").alias("modal")), ["fold", "concept_key"]).withColumnRenamed("fold", "of")
+    per = events.groupBy("concept_key", "unit", "fold").agg(F.count(F.lit(1)).alias("n"))
+    other = F.col("modal").isNull() | F.col("unit").isNull() | (F.col("unit") != F.col("modal"))
+    rows = one.join(per, "concept_key").filter((F.col("fold") != F.col("of")) & other)
+    return rows.groupBy(F.col("of").alias("fold"), "unit").agg(F.sum("n").alias("excluded"))
+
+
+def require_ranked(top: DataFrame, groups: list[str], n: int) -> DataFrame:
+    """``top``; its query fails if a group has fewer than ``n`` ranks."""
+    most = top.groupBy(*groups).agg(F.max("rank").alias("__most"))
+    return checked(top.join(most, groups), {f"a group has fewer than {n}": F.col("__most") >= n}).drop("__most")
+
+
+def concept_metadata(rows: DataFrame) -> DataFrame:
+    """(concept_key, concept_name, sources, semantics, units): the first name by text, and sorted distinct values joined by bars."""
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "|")
+    have = set(rows.columns)
+    text = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    return rows.groupBy("concept_key").agg(F.min(text("concept_name")).alias("concept_name"), joined(text("source_table")).alias("sources"), joined(text("semantics")).alias("semantics"), joined(text("unit")).alias("units"))
+
+
+def key_collisions(keys: DataFrame, raw: str, normal: str) -> DataFrame:
+    """(normal, n): normalised keys that several raw ones share."""
+    return keys.groupBy(normal).agg(F.count_distinct(raw).alias("n")).filter("n > 1")
+
+
+def selection_frequency(selected: DataFrame, key: str = "concept_key", measure: str = "prevalence") -> DataFrame:
+    return selected.groupBy(key).agg(F.count_distinct("fold").alias("folds"), F.avg(measure).alias(f"mean_{measure}"))
+
+
+def fold_checks(rows: DataFrame, folds: DataFrame) -> DataFrame:
+    """(check, failures) of rows (visit_id, patient_id, outcome) under folds (patient_id, fold): without a fold, in several, one class alone."""
+    per = folds.groupBy("patient_id").agg(F.count_distinct("fold").alias("folds"))
+    own = rows.join(per, "patient_id", "left").agg(F.count_if(F.col("folds").isNull()).alias("unassigned"), F.count_distinct(F.when(F.col("folds") > 1, F.col("patient_id"))).alias("split_patients"))
+    sums = rows.join(folds, "patient_id").groupBy("fold").agg(F.sum("outcome").alias("pos"), F.count(F.lit(1)).alias("n"))
+    whole = sums.agg(F.sum("pos").alias("ap"), F.sum("n").alias("an"))
+    one = sums.crossJoin(F.broadcast(whole)).agg(F.count_if((F.col("pos") == 0) | (F.col("pos") == F.col("n")) | (F.col("ap") == F.col("pos")) | (F.col("an") - F.col("ap") == F.col("n") - F.col("pos"))).alias("one_class_folds"))
+    return own.crossJoin(one).select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("failures")) for c in ("unassigned", "split_patients", "one_class_folds")])).alias("x")).select("x.*")
+
+
+def fold_summary(rows: DataFrame, folds: DataFrame) -> DataFrame:
+    return rows.join(folds, "patient_id").groupBy("fold").agg(F.count(F.lit(1)).alias("visits"), F.count_distinct("patient_id").alias("patients"), F.sum("outcome").alias("outcomes"))
 
 
 def assemble(base: DataFrame, parts: list[DataFrame], key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators.audit import require_unique
+from tidewater.operators.audit import checked, sole
 
 
 def interval_link(events: DataFrame, visits: DataFrame) -> DataFrame:
@@ -15,15 +15,15 @@ def interval_link(events: DataFrame, visits: DataFrame) -> DataFrame:
     return events.join(v, inside).groupBy("event_id").agg(F.count(F.lit(1)).alias("candidates"), F.min("vv").alias("vv")).select("event_id", "candidates", F.when(F.col("candidates") == 1, F.col("vv")).alias("visit_id"))
 
 
-def link(events: DataFrame, cohort: DataFrame, all_visits: DataFrame, bridge: DataFrame) -> DataFrame:
+def link(events: DataFrame, cohort: DataFrame, all_visits: DataFrame, bridge: DataFrame, strict: bool = False) -> DataFrame:
     """``events`` (event_id unique) with linkage_strategy, linked_visit and reason, a row for each.
 
-    A visit that is named but not in the cohort, or a bridge key that leads nowhere, ends the search.
+    A visit that is named but not in the cohort, or a bridge key that leads nowhere, ends the search. The query fails where a bridge
+    key repeats and, if ``strict``, where an event names another patient's visit; else that is its reason.
     """
-    require_unique(bridge, ["bridge_key"])
     own = cohort.select(F.col("visit_id").alias("cv"), F.col("patient_id").alias("cp"))
     known = all_visits.select(F.col("visit_id").alias("av")).distinct()
-    b = bridge.select(F.col("bridge_key").alias("bk"), F.col("visit_id").alias("bv"))
+    b = sole(bridge.select("bridge_key", "visit_id"), ["bridge_key"]).select(F.col("bridge_key").alias("bk"), F.col("visit_id").alias("bv"))
     df = events.join(b, F.col("bridge_key") == F.col("bk"), "left")
     df = df.withColumn("named", F.coalesce("source_visit_id", "bv"))
     df = df.join(own, F.col("named") == F.col("cv"), "left").join(known, F.col("named") == F.col("av"), "left")
@@ -32,6 +32,8 @@ def link(events: DataFrame, cohort: DataFrame, all_visits: DataFrame, bridge: Da
     df = df.join(by_time, F.col("event_id") == F.col("te"), "left")
     direct, bridged = F.col("source_visit_id").isNotNull(), F.col("source_visit_id").isNull() & F.col("bridge_key").isNotNull()
     mismatch = F.col("cv").isNotNull() & (F.col("cp") != F.col("patient_id"))
+    if strict:
+        df = checked(df, {"an event names another patient's visit": ~F.coalesce(mismatch, F.lit(False))})
     strategy = F.when(mismatch, F.lit(None)).when(direct & F.col("cv").isNotNull(), "direct_visit").when(bridged & F.col("cv").isNotNull(), "bridge").when(~direct & ~bridged & F.col("tv").isNotNull(), "patient_time")
     reason = (
         F.when(mismatch, "patient_mismatch")
@@ -66,3 +68,11 @@ def audit(linked: DataFrame, qualifying: DataFrame) -> DataFrame:
     good = qualifying.agg(F.count(F.lit(1)).alias("qualifying"))
     three = total.crossJoin(good).select(F.explode(F.array(F.struct(F.lit("source").alias("measure"), F.col("source").alias("n")), F.struct(F.lit("outside_window").alias("measure"), (F.col("linked") - F.col("qualifying")).alias("n")), F.struct(F.lit("qualifying").alias("measure"), F.col("qualifying").alias("n")))).alias("x")).select("x.*")
     return one.unionByName(three)
+
+
+def stage_counts(linked: DataFrame, cohort: DataFrame) -> DataFrame:
+    """(stage, observed): source, linked and qualifying rows, counted in one pass over the linked events."""
+    c = cohort.select(F.col("visit_id").alias("linked_visit"), "start", "predictor_end")
+    inside = (F.col("event_datetime") >= F.col("start")) & (F.col("event_datetime") < F.col("predictor_end"))
+    one = linked.join(c, "linked_visit", "left").agg(F.count(F.lit(1)).alias("source"), F.count("linked_visit").alias("linked"), F.count_if(inside).alias("qualifying"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).alias("observed")) for s in ("source", "linked", "qualifying")])).alias("x")).select("x.*")

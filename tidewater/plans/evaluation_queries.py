@@ -249,3 +249,14 @@ def _(spark, d):
 @query("deterministic_sample", "with {scores} select visit_id from (select visit_id, cast(('0x' || substr(md5('42|' || visit_id), 1, 8)) as bigint) as h from identity) order by h, visit_id limit 100")
 def _(spark, d):
     return E.hash_sample(B.identity(spark, d), 100, 42, "visit_id").select("visit_id")
+
+
+@query("run_gate", "with {scores}, v as (select n, count(*) as c from scores group by 1) select count(distinct fold) as folds, count(distinct matrix) as matrices, count(distinct model) as models, (select count(*) from (select distinct fold, matrix, model from scores)) as fits, (select min(c) from v) as least, (select max(c) from v) as most from scores")
+def _(spark, d):
+    """The query fails unless there are five folds, two matrices, three models, all their fits and six probabilities a visit."""
+    return E.require_run(B.scores(spark, d), 5, 2, 3)
+
+
+@query("aligned_scores", "with {scores} select n, matrix, model, p from scores")
+def _(spark, d):
+    return E.aligned(B.scores(spark, d).select("n", "matrix", "model", "fold", "p"), B.identity(spark, d)).select("n", "matrix", "model", "p")

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import normalise as N
 from tidewater.operators import audit as A
+from tidewater.operators import cohort as C
 from tidewater.operators import features as X
 from tidewater.operators import linkage as L
 from tidewater.operators.numbering import numbered
 from tidewater.plans import bindings as B
 from tidewater.plans.bindings import EVENTS_SQL, query
+from tidewater.sources.shared import frozen
 
 # ------------------------------------------------------------------ linkage
 
@@ -29,7 +31,7 @@ def _cohort(spark, d):
 
 
 def _linked(spark, d):
-    return L.link(B.domain_events(spark, d), _cohort(spark, d), B.encounters(spark, d), B.bridge(spark, d))
+    return L.link(B.domain_events(spark, d), _cohort(spark, d), B.encounters(spark, d), B.bridge(spark, d), strict=True)
 
 
 def _qualified(spark, d):
@@ -87,8 +89,13 @@ def _(spark, d):
 
 @query("semantics_violations", "select l_returnflag as semantics, count(*) as n from lineitem where l_returnflag not in ('A', 'R') group by 1")
 def _(spark, d):
-    allowed = spark.createDataFrame([("A",), ("R",)], "semantics string")
-    return B._t(spark, d, "lineitem", "l_returnflag").select(F.col("l_returnflag").alias("semantics")).join(F.broadcast(allowed), "semantics", "left_anti").groupBy("semantics").agg(F.count(F.lit(1)).alias("n"))
+    return A.not_allowed(B._t(spark, d, "lineitem", "l_returnflag").select(F.col("l_returnflag").alias("semantics")), "semantics", ["A", "R"])
+
+
+@query("semantics_allowed", "select l_returnflag as semantics, count(*) as n from lineitem group by 1")
+def _(spark, d):
+    rows = A.require_allowed(B._t(spark, d, "lineitem", "l_returnflag"), "l_returnflag", ["A", "N", "R"])
+    return rows.groupBy(F.col("l_returnflag").alias("semantics")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("join_many_to_one", "select l_orderkey, l_linenumber, o_orderpriority from lineitem left join orders on l_orderkey = o_orderkey")
@@ -127,17 +134,13 @@ def _(spark, d):
 @query("fold_summary", "with {cohort}, " + _PF + " select fold, count(*) as visits, count(distinct patient_id) as patients, cast(sum(outcome) as bigint) as events from cohort join pf using (patient_id) group by 1")
 def _(spark, d):
     own = _cohort(spark, d)
-    return own.join(X.patient_folds(own, 5, 42), "patient_id").groupBy("fold").agg(F.count(F.lit(1)).alias("visits"), F.count_distinct("patient_id").alias("patients"), F.sum("outcome").alias("events"))
+    return X.fold_summary(own, X.patient_folds(own, 5, 42)).withColumnRenamed("outcomes", "events")
 
 
 @query("fold_checks", "with {cohort}, " + _PF + " select 'unassigned' as \"check\", count(*) as n from cohort left join pf using (patient_id) where fold is null union all select 'split_patients', count(*) from (select patient_id from pf group by 1 having count(distinct fold) > 1) union all select 'one_class_folds', count(*) from (select fold from cohort join pf using (patient_id) group by 1 having count(distinct outcome) < 2)")
 def _(spark, d):
     own = _cohort(spark, d)
-    folds = X.patient_folds(own, 5, 42)
-    both = own.join(folds, "patient_id", "left")
-    one = F.count(F.lit(1)).alias("n")
-    parts = [("unassigned", both.filter("fold is null")), ("split_patients", folds.groupBy("patient_id").agg(F.count_distinct("fold").alias("f")).filter("f > 1")), ("one_class_folds", both.groupBy("fold").agg(F.count_distinct("outcome").alias("c")).filter("c < 2"))]
-    return A.union([x.agg(one).select(F.lit(k).alias("check"), "n") for k, x in parts])
+    return X.fold_checks(own, X.patient_folds(own, 5, 42)).select(F.col("check"), F.col("failures").alias("n"))
 
 
 @query("fold_overlap", "with {scores} select a.fold, count(*) as shared from (select distinct fold, patient_id from identity) a join (select distinct fold, patient_id from identity) b on a.patient_id = b.patient_id and a.fold != b.fold group by 1")
@@ -152,10 +155,8 @@ def _(spark, d):
 
 @query("unit_convert", _LINK + " select event_id, case unit when 'R' then value * 2.0 + 1.0 when 'A' then value end as value, case when unit in ('R', 'A') then 'A' end as unit from q")
 def _(spark, d):
-    rules = spark.createDataFrame([("R", 2.0, 1.0)], "unit string, factor double, offset double")
-    q = _qualified(spark, d).join(F.broadcast(rules), "unit", "left")
-    value = F.when(F.col("factor").isNotNull(), F.col("value") * F.col("factor") + F.col("offset")).when(F.col("unit") == "A", F.col("value"))
-    return q.select("event_id", value.alias("value"), F.when(value.isNotNull(), "A").alias("unit"))
+    q = X.confirmed_units(_qualified(spark, d), [("", "R", 2.0, 1.0)], default=("A",))
+    return q.select("event_id", "value", F.when(F.col("unit_status") != "invalid", "A").alias("unit"))
 
 
 _MODE = ", f as (select distinct fold from q), mu as (select fold, concept_key, unit from (select f.fold, concept_key, unit, row_number() over (partition by f.fold, concept_key order by count(*) desc, unit) as r from q join f on q.fold != f.fold group by f.fold, concept_key, unit) where r = 1)"
@@ -169,9 +170,7 @@ def _(spark, d):
 @query("unit_audit", _LINK + _MODE + " select mu.fold, q.unit, count(*) as excluded from mu join q on q.concept_key = mu.concept_key and q.fold != mu.fold where q.unit != mu.unit group by all")
 def _(spark, d):
     q = _qualified(spark, d)
-    mode = X.modal_units(q).withColumnRenamed("fold", "of").withColumnRenamed("unit", "mode")
-    bad = q.join(mode, "concept_key").filter((F.col("fold") != F.col("of")) & (F.col("unit") != F.col("mode")))
-    return bad.groupBy(F.col("of").alias("fold"), "unit").agg(F.count(F.lit(1)).alias("excluded"))
+    return X.unit_exclusions(q, X.modal_units(q))
 
 
 _PREV = ", f as (select distinct fold from q), pv as (select f.fold, concept_key, count(distinct linked_visit) as visits from q join f on q.fold != f.fold group by 1, 2)"
@@ -202,12 +201,19 @@ def _(spark, d):
 
 @query("concept_collisions", "select lower(trim(p_name)) as k, count(distinct p_name || p_type) as n from part group by 1 having count(distinct p_name || p_type) > 1")
 def _(spark, d):
-    return B._t(spark, d, "part", "p_name", "p_type").groupBy(N.concept_key(F.col("p_name")).alias("k")).agg(F.count_distinct(F.concat("p_name", "p_type")).alias("n")).filter("n > 1")
+    rows = B._t(spark, d, "part", "p_name", "p_type").select(N.concept_key(F.col("p_name")).alias("k"), F.concat("p_name", "p_type").alias("raw"))
+    return X.key_collisions(rows, "raw", "k")
+
+
+@query("concept_details", "select p_brand as concept_key, min(p_name) as concept_name, 'part' as sources, '' as semantics, string_agg(distinct p_type, '|' order by p_type) as units from part group by 1")
+def _(spark, d):
+    rows = B._t(spark, d, "part", "p_brand", "p_name", "p_type").select(F.col("p_brand").alias("concept_key"), F.col("p_name").alias("concept_name"), F.lit("part").alias("source_table"), F.col("p_type").alias("unit"))
+    return X.concept_metadata(rows)
 
 
 @query("selection_frequency", _LINK + _TOP + " select concept_key, count(distinct fold) as folds, round(avg(visits), 6) as mean_prevalence from tk where rank <= 50 group by 1")
 def _(spark, d):
-    return _topk(spark, d).groupBy("concept_key").agg(F.count_distinct("fold").alias("folds"), F.round(F.avg("visits"), 6).alias("mean_prevalence"))
+    return X.selection_frequency(_topk(spark, d).withColumnRenamed("visits", "prevalence")).withColumn("mean_prevalence", F.round("mean_prevalence", 6))
 
 
 @query("selection_counts", _LINK + _TOP + " select fold, count(*) as observed, 50 as expected, count(*) = 50 as matches from tk where rank <= 50 group by 1")
@@ -215,6 +221,12 @@ def _(spark, d):
     return _topk(spark, d).groupBy("fold").agg(F.count(F.lit(1)).alias("observed")).select("fold", "observed", F.lit(50).cast("long").alias("expected"), (F.col("observed") == 50).alias("matches"))
 
 
+@query("selection_gate", _LINK + _TOP + " select fold, count(*) as kept from tk where rank <= 20 group by 1")
+def _(spark, d):
+    """The query fails if a fold has fewer than 20 ranked concepts."""
+    return X.require_ranked(_topk(spark, d, 20), ["fold"], 20).groupBy("fold").agg(F.count(F.lit(1)).alias("kept"))
+
+
 # ------------------------------------------------------------------ features
 
 CONCEPTS = [f"Brand#{i}-ECONOMY" for i in range(1, 6)]
@@ -320,6 +332,17 @@ def _(spark, d):
     return X.mutual_information(_long(spark, d).filter("feature != 'value__mean'")).select("feature", F.round("mi", 6).alias("mi"))
 
 
+@query("information_ranking", _LINK + _LF + """, f as (select distinct fold as fo from lf), md as (select fo, feature, median(value) as med from lf join f on lf.fold != fo group by 1, 2),
+tr as (select f.fo, lf.feature, coalesce(value, med) as value, outcome from lf join f on lf.fold != f.fo join md on md.fo = f.fo and md.feature = lf.feature),
+bn as (select fo, feature, outcome, case when feature in ('value__mean', 'constant') then floor((rank() over (partition by fo, feature order by value) - 1) * 10 / count(*) over (partition by fo, feature)) else value end as b from tr),
+cell as (select fo, feature, b, outcome, count(*) as n from bn group by all),
+w as (select *, sum(n) over (partition by fo, feature) as t, sum(n) over (partition by fo, feature, b) as x, sum(n) over (partition by fo, feature, outcome) as y from cell),
+mi as (select fo as fold, feature, round(sum(n / t * ln(n * t / (x * y))), 10) as mi from w group by 1, 2)
+select fold, feature, round(mi, 6) as mi, rank from (select *, row_number() over (partition by fold order by mi desc, feature) as rank from mi) where rank <= 4""")
+def _(spark, d):
+    return X.information_ranking(_long(spark, d), keep=4).select("fold", "feature", F.round("mi", 6).alias("mi"), "rank")
+
+
 @query("feature_dictionary", _LINK + _LF + " select distinct feature, coalesce(nullif(split_part(feature, '__', 1), ''), feature) as concept, nullif(split_part(feature, '__', 2), '') as summary from lf")
 def _(spark, d):
     parts = F.split("feature", "__")
@@ -378,8 +401,13 @@ _DIG = "count(*) as row_count, cast(coalesce(sum(cast(('0x' || substr(sha256({ro
 @query("partition_digest", "with {scores} select fold, " + _DIG.replace("{row}", "'n=' || n || '|patient_id=' || patient_id") + " from identity group by 1")
 def _(spark, d):
     i = B.identity(spark, d)
-    parts = [A.digest(i.filter(F.col("fold") == k).select("n", "patient_id")).select(F.lit(k).cast("long").alias("fold"), "row_count", "digest") for k in range(1, 6)]
-    return A.union(parts).filter("row_count > 0")
+    return A.partition_digests(i, ["fold"], ["n", "patient_id"])
+
+
+@query("partition_frozen", "with {scores} select fold, " + _DIG.replace("{row}", "'n=' || n || '|patient_id=' || patient_id") + " from identity group by 1")
+def _(spark, d):
+    kept = frozen(B.identity(spark, d), "identity")
+    return A.require_equal_digests(A.partition_digests(B.identity(spark, d), ["fold"], ["n", "patient_id"]), A.partition_digests(kept, ["fold"], ["n", "patient_id"]), ["fold"])
 
 
 # ------------------------------------------------------------------ audits
@@ -392,15 +420,30 @@ def _(spark, d):
 
 @query("event_counts", _LINK + " select 'source' as stage, count(*) as observed from events_ union all select 'linked', count(*) from lv where linked_visit is not null union all select 'qualifying', count(*) from q")
 def _(spark, d):
-    linked = _linked(spark, d)
-    q = L.qualify(linked, _cohort(spark, d))
-    one = F.count(F.lit(1)).alias("observed")
-    return A.union([x.agg(one).select(F.lit(k).alias("stage"), "observed") for k, x in (("source", B.domain_events(spark, d)), ("linked", linked.filter("linked_visit is not null")), ("qualifying", q))])
+    return L.stage_counts(_linked(spark, d), _cohort(spark, d))
+
+
+@query("event_count_gate", _LINK + " select 'source' as stage, (select count(*) from events_) as expected, count(*) as observed, 0 as absolute_difference, 0 as tolerance, true as matches from lv")
+def _(spark, d):
+    """What linkage keeps of the source rows, all of them, against the source itself; the query fails where they differ."""
+    seen = L.stage_counts(_linked(spark, d), _cohort(spark, d)).filter("stage = 'source'")
+    want = B.domain_events(spark, d).agg(F.count(F.lit(1)).alias("expected")).select(F.lit("source").alias("stage"), "expected", F.lit(0).cast("long").alias("tolerance"))
+    return C.require_counts(seen, want, ["stage"])
 
 
 @query("table_digest", "select " + _DIG.replace("{row}", "'o_custkey=' || o_custkey || '|o_orderkey=' || o_orderkey || '|o_orderpriority=' || o_orderpriority") + " from orders")
 def _(spark, d):
-    return A.digest(B._t(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority"))
+    return A.plain_digest(B._t(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority"))
+
+
+@query("content_digest", "select " + _DIG.replace("{row}", "'{\"o_custkey\":' || o_custkey || ',\"o_orderkey\":' || o_orderkey || ',\"o_orderpriority\":\"' || o_orderpriority || '\"}'") + " from orders")
+def _(spark, d):
+    return A.digest(B._t(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority"), schema=False)
+
+
+@query("ordered_digest", "select " + _DIG.replace("{row}", "'{\"__place\":' || place || ',\"o_custkey\":' || o_custkey || ',\"o_orderkey\":' || o_orderkey || '}'") + " from (select *, row_number() over (order by o_orderkey) as place from orders)")
+def _(spark, d):
+    return A.ordered_digest(B._t(spark, d, "orders", "o_orderkey", "o_custkey"), ["o_orderkey"], schema=False)
 
 
 @query("table_diff", "select o_orderkey, 'o_totalprice' as \"column\", 'value' as kind from orders where o_orderkey % 50 = 0 and o_orderkey % 70 != 0 union all select o_orderkey, '*', 'only_left' from orders where o_orderkey % 70 = 0")
@@ -502,3 +545,18 @@ def _(spark, d):
 @query("grouping_sets", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by rollup (o_orderstatus, o_orderpriority)")
 def _(spark, d):
     return B._t(spark, d, "orders", "o_orderstatus", "o_orderpriority").rollup("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("manifest_findings", "select c_custkey, '$.runs[0].visit_id' as path, 'identifier' as finding from customer union all select c_custkey, '$.runs[0].row_count', 'small_cell' from customer where c_custkey % 7 between 1 and 4")
+def _(spark, d):
+    rows = B._t(spark, d, "customer", "c_custkey", "c_mktsegment")
+    runs = F.array(F.struct(F.col("c_custkey").alias("visit_id"), (F.col("c_custkey") % 7).alias("row_count")))
+    rows = rows.select("c_custkey", F.to_json(F.struct(F.col("c_mktsegment").alias("segment"), runs.alias("runs"), F.lit("x").alias("note"))).alias("manifest"))
+    return A.manifest_findings(rows, "manifest", 5)
+
+
+@query("published_table", "select p_brand, count(*) as n from part group by 1")
+def _(spark, d):
+    """A table of counts that passes its list of columns and the least count; the query fails at a smaller one."""
+    cells = B._t(spark, d, "part", "p_brand").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    return A.publishable(cells, "brands", {"brands": ["p_brand", "n"]}, ["n"], 2)
