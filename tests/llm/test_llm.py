@@ -298,12 +298,77 @@ def test_quality_rules(odd, empty, labels):
     assert quality_rules.quality_rules(empty, labels).count() == 0
 
 
-def test_cutoffs_keep_their_promise():
+def test_bounds_and_pools():
     assert abs(quality_rules.upper_bound(0, 100, 0.05) - (1 - 0.05**0.01)) < 1e-9
-    good = [(0, 0, s, 100_000 if s == 0 else 0, 0) for s in range(65)]
-    cuts = quality_rules.cutoffs([*good, (0, 0, 40, 3, 500)])
-    assert cuts[0, 0] <= 40
-    assert quality_rules.cutoffs([(0, 0, 0, 50, 0), (0, 0, 40, 0, 50)]) == {}
+    assert quality_rules.pools({0: 1000, 1: 10, 2: 400, 3: 5}) == {0: 0, 1: 1, 2: 1, 3: 1}
+    assert quality_rules.passed(np.array([3, *[0] * 64, 10_000]), 0.02, 0.01) == 64
+    assert quality_rules.passed(np.array([0, 0, 300, *[0] * 62, 10_000]), 0.02, 0.01) == 1
+    assert quality_rules.passed(np.array([*[0] * 65, 50]), 0.02, 0.01) == -1
+
+
+def _plain_verdicts(rows, labels, alpha=0.02, delta=0.05):
+    """The method on lists; binomial bounds by a table of exact integer sums. ``rows``: (id, text)."""
+    from fractions import Fraction
+    from math import comb
+
+    def too_many(k, n, risk):  # the bound is above alpha if so few good texts are rejected with more than that risk at a rate of alpha
+        p = Fraction(1, 50)
+        return sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) > Fraction(risk).limit_denominator(10_000)
+
+    base = [quality_rules.base_stats(t) for _, t in rows]
+    steps = [quality_rules.rule_steps(t, b) for (_, t), b in zip(rows, base)]
+    fails = [b[0] < 50 or 2 * b[4] > b[0] for b in base]
+    seen, part = set(), {True: [], False: []}
+    for (i, t), b, s, f in zip(rows, base, steps, fails):
+        if not f and i in labels and (t, labels[i]) not in seen:
+            seen.add((t, labels[i]))
+            part[_orders(t)].append((quality_rules.stratum(b[0]), s, labels[i]))
+    assert len({x[0] for x in part[True] + part[False]}) == 1
+    beyond = lambda q, r, c: sum(s[r] >= c for _, s, y in part[True] if y == q)
+    total = {q: sum(y == q for *_, y in part[True]) for q in (0, 1)}
+    share = {(r, c): beyond(1, r, c) / total[1] for r in range(8) for c in range(1, 65) if beyond(0, r, c) / total[0] >= 4 * (beyond(1, r, c) + 1) / (total[1] + 1)}
+    good = [s for _, s, y in part[False] if y == 1]
+    chosen = set()
+    for level in range(65):
+        cuts = {rc for rc, x in share.items() if x <= level * 2 * alpha / 64 + 1e-12}
+        k = sum(any(s[r] >= c for r, c in cuts) for s in good)
+        if too_many(k, len(good), delta):
+            break
+        if sum(any(s[r] >= c for r, c in cuts) for _, s, y in part[True] if y == 0) > sum(any(s[r] >= c for r, c in chosen) for _, s, y in part[True] if y == 0):
+            chosen = cuts
+    return [not f and not any(s[r] >= c for r, c in chosen) for s, f in zip(steps, fails)]
+
+
+def _orders(text):
+    return _ORDERS[text]
+
+
+def test_rules_reject_bad_texts_and_keep_good_ones(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(12)
+    rows, labels = [], {}
+    for i in range(2400):
+        n = int(rng.integers(110, 200))
+        bad = i % 3 == 0
+        words = rng.choice(_WORDS, n)
+        text = " ".join(w + "!!" if (rng.random() < 0.4 if bad else rng.random() < 0.002) else w for w in words)
+        rows.append((i, text))
+        if i % 10:
+            labels[i] = int(not bad)
+    rows += [(3000 + i, rows[i][1]) for i in range(0, 60)]  # repeated texts are one trial
+    labels |= {3000 + i: labels[i] for i in range(60) if i in labels}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    _ORDERS.update({r["text"]: r["o"] for r in docs.select("text", (F.pmod(F.xxhash64(F.lit(23), F.xxhash64("text")), F.lit(3)) == 0).alias("o")).collect()})
+    out = {r["did"]: r["kept"] for r in quality_rules.quality_rules(docs, table).collect()}
+    assert [out[i] for i, _ in rows] == _plain_verdicts(rows, labels)
+    bad = [i for i, _ in rows if i % 3 == 0]
+    assert sum(not out[i] for i in bad) > 0.9 * len(bad) and sum(not out[i] for i, _ in rows if i % 3) <= 0.02 * len(rows)
+    assert quality_rules.fit(quality_rules.statistics(docs), table.limit(0)) == {}
+
+
+_ORDERS: dict = {}
 
 
 def test_nearest_against_brute_force(spark):

@@ -52,7 +52,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.quality_rules import quality_rules
 
     out = quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
-    return out.drop("steps", "stratum").withColumnRenamed("did", "doc_id")
+    return out.drop("th", "steps", "stratum").withColumnRenamed("did", "doc_id")
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
