@@ -74,6 +74,29 @@ def test_classifier_tells_classes_apart(spark):
     assert len(out) == 240 and len(held) > 40 and all(r["predicted"] == int(r["did"] % 3 != 0) for r in held)
 
 
+def test_dual_coordinate_descent_reaches_the_optimum():
+    """Against projected gradient steps on the same dual."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(40, 6)), np.where(rng.random(40) < 0.5, 1.0, -1.0)
+    rows = [(np.arange(6), v) for v in x]
+    w, b = quality_classifier.dual_coordinate_descent(rows, y, 6, penalty=0.7, epochs=3000)
+    z = np.hstack((x, np.ones((40, 1)))) * y[:, None]
+    q, a = z @ z.T, np.zeros(40)
+    for _ in range(200_000):
+        a = np.clip(a - (q @ a - 1) / np.linalg.norm(q, 2), 0, 0.7)
+    primal = lambda v: 0.5 * v @ v + 0.7 * np.maximum(0, 1 - z @ v).sum()
+    assert primal(np.append(w, b)) <= 1.001 * primal(z.T @ a) + 1e-9
+
+
+def test_classifier_takes_other_columns_and_repeated_ids(spark):
+    rows = [(i, " ".join(["Bad!!"] * 30) if i % 3 == 0 else _prose(60)) for i in range(90)]
+    docs = spark.createDataFrame(rows + rows[:20] + [(5, "x")], "n long, body string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(90)] + [(4, 1)], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels, id_col="n", text_col="body")
+    again = quality_classifier.fit(docs.repartition(5), labels, id_col="n", text_col="body")
+    assert (model.weight == again.weight).all() and quality_classifier.score(docs, model, "n", "body").count() == 111
+
+
 def test_classifier_edges(odd, empty, labels):
     model = quality_classifier.fit(odd, labels)
     out = quality_classifier.score(odd, model).collect()
@@ -166,13 +189,32 @@ def test_plan_is_best_fit_over_counts():
     assert sum(n for _, n in kinds) <= 1.01 * sum(k * v for k, v in counts.items()) / 100 + 1
 
 
+def _water(sizes, weights, total):
+    """Targets by bisection of the level at which words are shared."""
+    low, high = 0.0, 2.0 * sum(sizes) + 1
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(mid * w, 2 * s) for s, w in zip(sizes, weights)) < total else (low, mid)
+    return [min(low * w, 2 * s) for s, w in zip(sizes, weights)]
+
+
+@pytest.mark.parametrize("sizes", [[10, 1000, 5, 0, 700], [1], [0, 0], list(range(1, 30)), [5000, 1, 1, 1]])
+def test_targets_share_the_excess_again(spark, sizes):
+    df = spark.createDataFrame([(f"s{i:02}" if i else None, n) for i, n in enumerate(sizes)], "source string, source_size long")
+    names = sorted((r["source"] for r in df.collect()), key=lambda s: (s is None, s or ""))
+    size = {r["source"]: r["source_size"] for r in df.collect()}
+    want = _water([size[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(sizes))
+    got = {r["source"]: r["target"] for r in mixing.targets(df, 1.5, 2.0, mixing.WEIGHTS).collect()}
+    assert all(abs(got[s] - w) < 1e-6 for s, w in zip(names, want))
+
+
 def test_mixing(odd, empty):
     out = mixing.mix(odd).collect()
     sizes = defaultdict(int)
     for _, text, _, source, _ in REPEATED:
         sizes[source] += len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    want = mixing.targets([sizes[s] for s in order], [mixing.WEIGHTS[i % 3] for i in range(len(order))], 1.5 * sum(sizes.values()))
+    want = _water([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(sizes.values()))
     assert abs(sum(want) - min(1.5 * sum(sizes.values()), 2 * sum(sizes.values()))) < 1e-6
     assert len(out) == len(REPEATED)
     for s, t in zip(order, want):

@@ -152,21 +152,24 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
-    """Fits to at most ``most_rows`` labelled rows that are not held out; labels other than 0 and 1 are left out.
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fits to at most ``most_rows`` labelled ids that are not held out; labels (doc_id, quality) other than 0 and 1 are left out.
 
-    The driver holds those rows' n-gram numbers, some kilobytes each.
+    Of an id with several labels the larger counts, of one with several texts the least text; null texts are empty. Ids of least hash
+    are taken, so ties do not matter. Without labels or documents the model gives one half. The driver holds those rows' n-gram numbers,
+    some kilobytes each.
     """
     known = labels.filter("quality in (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(most_rows)
-    rows = docs.select("doc_id", F.col("text")).join(chosen, "doc_id").select("doc_id", "quality", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in pieces(batches):
             found = features(encoded(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())], ["doc_id", "quality", "x"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, quality int, x binary").limit(2 * most_rows).collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
+    got = sorted(rows.mapInArrow(run, "doc_id long, quality int, x binary").collect(), key=lambda r: r["doc_id"])
     return train([np.frombuffer(bytes(r["x"]), "<u4").astype(np.int64) for r in got], np.array([r["quality"] for r in got]))
 
 
