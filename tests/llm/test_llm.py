@@ -454,7 +454,7 @@ def test_nearest_with_an_outlier_norm(spark):
 
 @pytest.mark.parametrize("group", [512, 3])
 def test_repeats_against_brute_force(odd, empty, monkeypatch, group):
-    """With small groups the divided paths do the work; the results are the same."""
+    """With small groups prefixes are lengthened to the whole window; the results are the same."""
     from tidewater.llm import repeats
 
     monkeypatch.setattr(repeats, "GROUP", group)
@@ -467,6 +467,38 @@ def test_repeats_against_brute_force(odd, empty, monkeypatch, group):
     assert suffix_arrays.remove_repeats(empty).count() == 0 and suffix_trees.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_a_passage_in_many_contexts(spark, monkeypatch):
+    """A passage of 48 words in 260 texts, each with words of its own around it: groups ten times over the bound at every prefix."""
+    from tidewater.llm import repeats
+
+    monkeypatch.setattr(repeats, "GROUP", 26)
+    rng = np.random.default_rng(31)
+    passage = " ".join(rng.choice(_WORDS, 48))
+    texts = [" ".join([f"a{i}b{j}" for j in range(int(rng.integers(0, 40)))] + [passage if i % 5 else passage[: len(passage) // 2]] + [f"c{i}d{j}" for j in range(int(rng.integers(0, 40)))]) for i in range(260)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    raw = [t.encode() for t in texts]
+    for module in (suffix_trees, suffix_arrays):
+        out = module.digest(module.remove_repeats(docs)).collect()
+        assert Counter(map(tuple, out)) == Counter((i, *x) for i, x in enumerate(module.brute_force(raw)))
+
+
+def test_suffix_tree_nodes():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        n, width = int(rng.integers(1, 14)), int(rng.integers(1, 6))
+        rows = rng.integers(1, 3, (n, width))
+        for i, cut in enumerate(rng.integers(0, width + 1, n)):
+            rows[i, cut:] = 0
+        tree = suffix_trees.Subtree(rows)
+        assert all(tree.depth[p] < d and tree.low[p] <= lo and hi <= tree.high[p] for d, lo, hi, p in zip(tree.depth[1:], tree.low[1:], tree.high[1:], tree.parent[1:]))
+        for least in range(width + 1):
+            c = tree.classes(least)
+            for i in range(n):
+                for j in range(i):
+                    same = least == 0 or ((rows[i, :least] == rows[j, :least]).all() and rows[i, least - 1] > 0)
+                    assert (c[i] == c[j]) == bool(same)
+
+
 def test_suffix_array_by_grouping():
     rng = np.random.default_rng(5)
     for _ in range(400):

@@ -27,7 +27,8 @@ WORDS = 5
 PERCENT = 80
 #: Shingles that count as common, the most frequent ones. It decides the order alone, not the result.
 COMMON = 1 << 18
-#: Sets of one shingle beyond which they look for a reference, and how often differences are taken. Both decide the work alone.
+#: Sets of one shingle beyond which they look for a reference, and how often differences are taken, the second time only where many
+#: still meet. Both decide the work alone.
 HOT, LEVELS = 8, 2
 #: Rows of a shingle that are held together; more are dealt out as pairs of blocks.
 BLOCK = 1024
@@ -179,21 +180,23 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition(F.col("h"), salt).sortWithinPartitions("h", "c").mapInArrow(run, "h long, c long, n int, i int")
 
 
-def _references(rows: DataFrame) -> DataFrame | None:
+def _references(rows: DataFrame, least: int = 0) -> DataFrame | None:
     """(c, ref) for sets that meet many others: the set that most of their shingles name, of a size within about half and double.
 
     A shingle of many sets names the one, by class of size, that meets most others over all its shingles: an original rather than
-    its copies. A set follows if an eighth of its first shingles name one. None if no shingle has many sets.
+    its copies. A set follows if an eighth of its first shingles name one. None if no shingle has many sets, or these are fewer than
+    ``least`` pairs a row.
     """
     sizes = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > HOT), "hot-shingles")
     # tables of their own, here and below, so that joins on a hot key meet two plain shuffles that Spark can split
-    hot = written(rows.select("h", "c", "first", "size").join(sizes, "h"), "hot-rows")
-    if hot.isEmpty():
+    pairs = sizes.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0]
+    if pairs is None or pairs < least * rows.count():
         return None
+    hot = written(rows.select("h", "c", "first", "size").join(sizes, "h"), "hot-rows")
     degree = hot.groupBy("c").agg(F.sum("m").alias("degree"))
     size = F.log2("size")
     classes = F.explode(F.array(F.floor(size), 1000 + F.floor(size + 0.5))).alias("s")
-    known = written(hot.join(degree, "c").select("h", "c", "first", "degree", classes), "hot-classes")
+    known = hot.join(degree, "c").select("h", "c", "first", "degree", classes)
     hubs = written(known.groupBy("h", "s").agg(F.max(F.struct("degree", "c")).alias("x")).select("h", "s", F.col("x.c").alias("hub"), F.col("x.degree").alias("hubs")), "hubs")
     votes = known.select("h", "s", "c", "first").join(hubs, ["h", "s"]).groupBy("c", "hub").agg(F.count(F.lit(1)).alias("v"), F.max("hubs").alias("hubs"), F.max("first").alias("first"))
     best = votes.groupBy("c").agg(F.max(F.struct("v", "hubs", "hub", "first")).alias("x"))
@@ -207,7 +210,7 @@ def _differences(sets: DataFrame, refs: DataFrame, percent: int) -> DataFrame:
     ``near``: as similar to the reference as asked. ``first`` elements in an order of all must hold one that a similar set has too:
     a near one's partner is taken to be far, as near ones are linked already.
     """
-    parts = written(refs.groupBy("ref").agg(F.count(F.lit(1)).alias("m")).select("ref", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "reference-parts")
+    parts = refs.groupBy("ref").agg(F.count(F.lit(1)).alias("m")).select("ref", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
     mine = refs.join(parts, "ref").select("c", "ref", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part")).join(sets, "c")
     theirs = parts.join(sets.select(F.col("c").alias("ref"), F.col("s").alias("t")), "ref").select("ref", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "t")
 
@@ -398,8 +401,8 @@ def _links(own: DataFrame, texts: DataFrame, rows: DataFrame, k: int, percent: i
     tables = [rows.select("h", "c", "n", "i", (2 * percent * F.col("n").cast("long")).alias("u"), (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1).cast("int").alias("first"), F.col("n").alias("size"))]
     follow: list[DataFrame | None] = []
     near = sets = None
-    for _ in range(LEVELS):
-        refs = _references(tables[-1])
+    for level in range(LEVELS):
+        refs = _references(tables[-1], least=4 * level)
         follow.append(refs)
         if refs is None:
             break

@@ -1,10 +1,15 @@
 """Windows of texts that start more than once in a corpus: what the suffix-tree and suffix-array operators share.
 
-Every window of ``width`` symbols (bytes or words) is assigned the least of the hashes of its runs of ``gram`` symbols, the last if
-tied; where that run lies is its anchor. Equal windows have equal anchors at equal distances. Windows that follow one another with
-one anchor make a segment, and segments of equal anchors make a group. So a group holds whole every set of equal windows, and what
-is moved is one segment for many windows. Anchors that occur once are dropped first; a distinct segment is moved once with the number
-of its occurrences. A group beyond ``GROUP`` segments is divided by longer common stretches, and at last by whole windows.
+Only some suffixes need be sorted: those that begin at the anchor of a window, the place of the least of the hashes of its runs of
+``gram`` symbols, the last if tied. Equal windows have equal anchors at equal distances, so they are a common left context and a common
+right context of two such suffixes. Windows that follow one another with one anchor make a segment, and segments are grouped by the
+first ``gram`` symbols of their suffix. Anchors that occur once are dropped first; a distinct segment is moved once with the number of
+its occurrences.
+
+A group beyond ``group`` segments is divided by longer prefixes: windows whose distances from the anchor lie in one cell of a grid have
+all but the grid's width in common, so the suffix that begins at the cell's end is keyed by that much, and what is moved is cut to the
+cell. Equal pieces are one, with the sum of their numbers. At the last grid, of width one, a prefix is a whole window: its group is a
+node of full depth, whose weight is a sum that needs no task to hold it.
 """
 
 from __future__ import annotations
@@ -18,17 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import _BYTE, _R, INVERSE, POWER, blocks_of, discard, encoded, mix, ngram_hashes, pieces, same_key, word_hashes, written
+from tidewater.llm.common import _BYTE, _R, INVERSE, POWER, blocks_of, discard, encoded, mix, ngram_hashes, pieces, same_key, temporary, word_hashes, written
 
-#: The most distinct segments that are held together.
+#: The most distinct segments of a group that are sorted together.
 GROUP = 512
-#: Segments that are sorted at once, whole groups unless one is larger.
+#: Segments that are sorted at once, as whole groups.
 BLOCK = 4096
 
 
 @dataclass(frozen=True)
 class Unit:
-    """What a window is made of. ``grid`` windows share a stretch when a group is divided."""
+    """What a window is made of. ``grid`` windows share a prefix when a group is divided the first time."""
 
     words: bool
     width: int
@@ -141,7 +146,7 @@ _PIECE = "key long, h long, sk long, at int, n int, o int, m long, seg binary, d
 _PIECE_ARROW = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("sk", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("o", pa.int32()), ("m", pa.int64()), ("seg", pa.binary()), ("divided", pa.bool_())])
 
 
-def _extract(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
+def _extract(docs: DataFrame, wanted: DataFrame, unit: Unit, group: int) -> DataFrame:
     """The text of each distinct segment, divided over the grid where its group is large (``g``)."""
     lists = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("h", "sk", "s", "n", "o", "m", "g")).alias("want"))
 
@@ -152,22 +157,22 @@ def _extract(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
                 cut = _cut(data, unit)
                 for x in want:
                     s, n, o = x["s"], x["n"], x["o"]
-                    if x["g"] <= GROUP:
+                    if x["g"] <= group:
                         rows.append((x["h"], x["h"], x["sk"], 0, n, o, x["m"], cut(s, s + n - 1 + unit.width), False))
                         continue
-                    # window i is l = o - i before the anchor; all with l in one cell of the grid share a stretch
+                    # window i is l = o - i before the anchor; all with l in one cell of the grid share a prefix from the cell's start on
                     for q in range((o - n + 1) // unit.grid, o // unit.grid + 1):
                         low, high = q * unit.grid, q * unit.grid + unit.grid - 1
                         i, j = max(0, o - high), min(n - 1, o - low)
-                        common = cut(s + o - low, s + o - high + unit.width)
-                        rows.append((_number(x["h"].to_bytes(8, "little", signed=True), q.to_bytes(4, "little"), common), x["h"], x["sk"], i, j - i + 1, o - i, x["m"], cut(s + i, s + j + unit.width), True))
+                        prefix = cut(s + o - low, s + o - high + unit.width)
+                        rows.append((_number(x["h"].to_bytes(8, "little", signed=True), q.to_bytes(4, "little"), prefix), x["h"], x["sk"], i, j - i + 1, o - i, x["m"], cut(s + i, s + j + unit.width), True))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 9, _PIECE_ARROW)], schema=_PIECE_ARROW)
 
     return same_key(docs, lists, "inner").select("text", "want").mapInArrow(run, _PIECE)
 
 
-def _by_window(pieces_: DataFrame, unit: Unit) -> DataFrame:
-    """(h, sk, a, b) of single windows that start again, for what no stretch divides: equal windows meet by hash."""
+def _full_depth(pieces_: DataFrame, unit: Unit) -> DataFrame:
+    """(h, sk, a, b) of single windows that start again: prefixes of a window's whole length, told apart by 128 bits, and their weights."""
 
     def run(batches):
         for batch in batches:
@@ -179,13 +184,14 @@ def _by_window(pieces_: DataFrame, unit: Unit) -> DataFrame:
                     rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), x["h"], x["sk"], x["at"] + i, x["m"]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, [pa.int64()] * 4 + [pa.int32(), pa.int64()])], ["w1", "w2", "h", "sk", "a", "m"])
 
-    windows = pieces_.mapInArrow(run, "w1 long, w2 long, h long, sk long, a int, m long")
-    again = windows.groupBy("w1", "w2").agg(F.sum("m").alias("m")).filter("m > 1").select("w1", "w2")
+    windows = written(pieces_.mapInArrow(run, "w1 long, w2 long, h long, sk long, a int, m long"), "whole-windows")
+    # a table, so that the join of a hot window meets two plain shuffles and Spark can split it
+    again = written(windows.groupBy("w1", "w2").agg(F.sum("m").alias("m")).filter("m > 1").select("w1", "w2"), "repeated-windows")
     return windows.drop("m").join(again, ["w1", "w2"]).select("h", "sk", "a", (F.col("a") + 1).alias("b"))
 
 
-def _by_group(pieces_: DataFrame, marks: Callable[[list[dict]], list[np.ndarray]]) -> DataFrame:
-    """(h, sk, a, b): runs of windows that ``marks`` finds again, groups being whole in one call."""
+def _by_group(pieces_: DataFrame, marks: Callable[[list[dict]], list[np.ndarray]], names: tuple[str, str]) -> DataFrame:
+    """(names, a, b): runs of windows that ``marks`` finds again, groups being whole in one call."""
 
     def run(batches):
         held: list[dict] = []
@@ -195,43 +201,56 @@ def _by_group(pieces_: DataFrame, marks: Callable[[list[dict]], list[np.ndarray]
                 cut = next((i for i in range(BLOCK, 0, -1) if held[i]["key"] != held[i - 1]["key"]), None)
                 if cut is None:
                     break
-                yield _runs(held[:cut], marks)
+                yield _runs(held[:cut], marks, names)
                 held = held[cut:]
         if held:
-            yield _runs(held, marks)
+            yield _runs(held, marks, names)
 
-    return pieces_.repartition("key").sortWithinPartitions("key").mapInArrow(run, "h long, sk long, a int, b int")
+    return pieces_.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"{names[0]} long, {names[1]} long, a int, b int")
 
 
-def _runs(rows: list[dict], marks) -> pa.RecordBatch:
+def _runs(rows: list[dict], marks, names: tuple[str, str]) -> pa.RecordBatch:
     out = []
     for x, hit in zip(rows, marks(rows)):
         edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-        out += [(x["h"], x["sk"], x["at"] + a, x["at"] + b) for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist())]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, [pa.int64(), pa.int64(), pa.int32(), pa.int32()])], ["h", "sk", "a", "b"])
+        out += [(x[names[0]], x[names[1]], x["at"] + a, x["at"] + b) for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, [pa.int64(), pa.int64(), pa.int32(), pa.int32()])], [*names, "a", "b"])
 
 
-def repeated(docs: DataFrame, unit: Unit, marks: Callable[[list[dict]], list[np.ndarray]]) -> DataFrame:
+def _divided(rows: DataFrame, unit: Unit, marks, group: int) -> DataFrame:
+    """(h, sk, a, b) of pieces of divided groups. Equal pieces are sorted once; groups that are still large go to full depth."""
+    named = written(rows.withColumn("pk", F.xxhash64("seg", "o", "n")), "divided-pieces")
+    one = written(named.groupBy("key", "pk").agg(F.first(F.struct("o", "n", "seg")).alias("x"), F.sum("m").alias("m")).select("key", "pk", F.lit(0).alias("at"), "x.*", "m"), "distinct-pieces")
+    large = written(one.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > group).select("key"), "large-prefixes")
+    runs = written(_by_group(one.join(large, "key", "left_anti"), marks, ("key", "pk")), "piece-runs")
+    found = named.select("key", "pk", "h", "sk", "at").join(runs, ["key", "pk"]).select("h", "sk", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
+    deep = named.join(large, "key", "left_semi").select("h", "sk", "at", "n", "m", "seg")
+    return found.unionByName(_full_depth(deep, unit))
+
+
+def repeated(docs: DataFrame, unit: Unit, marks: Callable[[list[dict]], list[np.ndarray]], group: int | None = None) -> DataFrame:
     """(did, th, spans): symbols covered by windows that start anywhere else, as [first, end) pairs, not merged; ``docs`` is keyed.
 
     Rows that repeat id and text are one entry and occur as often as they are there.
     """
-    every = written(anchors(docs, unit), "anchors")
-    # a table of its own, so that the join below meets two plain shuffles and Spark can split a hot anchor
-    often = written(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "anchors-often")
-    found = written(every.join(often, "h"), "anchors-again")
-    discard(every)
-    distinct = found.groupBy("h", "sk").agg(F.min(F.struct("did", "th", "s", "n", "o")).alias("x"), F.count(F.lit(1)).alias("m"))
-    distinct = written(distinct.select("h", "sk", "x.*", "m"), "segments")
-    size = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("g"))
-    text = written(_extract(docs, distinct.join(size, "h"), unit), "segment-texts")
-    small, divided = text.filter("not divided"), text.filter("divided")
-    large = divided.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > GROUP).select("key")
-    rest = small.unionByName(divided.join(large, "key", "left_anti"))
-    spans = _by_group(rest, marks).unionByName(_by_window(divided.join(large, "key", "left_semi"), unit))
-    where = found.select("h", "sk", "did", "th", "s").join(spans, ["h", "sk"])
-    pair = F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") - 1 + unit.width).alias("b"))
-    return where.groupBy("did", "th").agg(F.collect_set(pair).alias("spans"))
+    group = group or GROUP
+    with temporary() as keep:
+        every = written(anchors(docs, unit), "anchors")
+        # a table of its own, so that the join below meets two plain shuffles and Spark can split a hot anchor
+        often = written(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "anchors-often")
+        found = written(every.join(often, "h"), "anchors-again")
+        discard(every)
+        distinct = found.groupBy("h", "sk").agg(F.min(F.struct("did", "th", "s", "n", "o")).alias("x"), F.count(F.lit(1)).alias("m"))
+        distinct = written(distinct.select("h", "sk", "x.*", "m"), "segments")
+        size = written(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("g")), "group-sizes")
+        text = written(_extract(docs, distinct.join(size, "h"), unit, group), "segment-texts")
+        runs = _by_group(text.filter("not divided"), marks, ("h", "sk"))
+        if not size.filter(F.col("g") > group).isEmpty():
+            runs = runs.unionByName(_divided(text.filter("divided").drop("divided"), unit, marks, group))
+        runs = written(runs, "repeated-runs")
+        where = found.select("h", "sk", "did", "th", "s").join(runs, ["h", "sk"])
+        pair = F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") - 1 + unit.width).alias("b"))
+        return keep(written(where.groupBy("did", "th").agg(F.collect_set(pair).alias("spans")), "repeated-spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:

@@ -1,9 +1,10 @@
 """Removal of word sequences that start again anywhere, with suffix trees over groups of suffixes that share a prefix.
 
-The suffixes of the corpus, cut to the window's length, are dealt out by prefixes of varying length (see ``repeats``): eight words are
-enough where a group stays small, longer stretches up to the whole window divide the others. Each group becomes a subtree in the
-memory of one task. Internal nodes as deep as the window, or leaves that stand for several equal suffixes, are repeats; consecutive
-windows join to maximal ones.
+The suffixes that begin at anchors (see ``repeats``) are dealt out by prefixes of varying length: eight words are enough where a group
+stays small, 32 words and at last the whole window divide the others. Each group's suffixes become a suffix tree in the memory of one
+task, as do their left contexts read backwards. A window that lies l words before an anchor is a repeat if another leaf is below the
+same node of at least 35 - l words to the right and the same node of at least l words to the left; so deep nodes of both trees give the
+repeats, and consecutive windows join to maximal ones.
 """
 
 from __future__ import annotations
@@ -23,36 +24,71 @@ UNIT = Unit(words=True, width=LENGTH, gram=8, grid=4)
 
 
 class Subtree:
-    """The suffix tree of a group of suffixes as its intervals: leaves in lexicographic order and the depth at which neighbours part."""
+    """The suffix tree of a group: leaves in lexicographic order and internal nodes with string depth, span of leaves and parent."""
 
     def __init__(self, suffixes: np.ndarray):
-        """``suffixes``: rows of word ranks, all of one length."""
+        """``suffixes``: rows of word ranks from 1 up, 0 behind the end of a shorter one."""
         rows = np.ascontiguousarray(suffixes.astype(">u4"))
-        self.leaves = np.argsort(rows.view(f"V{4 * rows.shape[1]}").ravel(), kind="stable")
+        n, width = rows.shape
+        self.leaves = np.argsort(rows.view(f"V{4 * width}").ravel(), kind="stable") if n > 1 else np.zeros(n, np.int64)
         ordered = rows[self.leaves]
-        differ = ordered[1:] != ordered[:-1]
-        self.depth = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
-
-    def deep(self, least: int) -> np.ndarray:
-        """For each leaf, the number of the highest node of at least that depth above it, or of the leaf where there is none."""
-        return np.concatenate(([0], np.cumsum(self.depth < least)))
+        differ = (ordered[1:] != ordered[:-1]) | (ordered[1:] == 0)
+        common = np.where(differ.any(1), differ.argmax(1), width)  # of neighbours
+        depth, low, high, parent = [0], [0], [n - 1], [-1]  # the root
+        open_ = [0]
+        for i, d in enumerate(common.tolist(), 1):
+            last = -1
+            while depth[open_[-1]] > d:
+                last = open_.pop()
+                high[last] = i - 1
+                if depth[open_[-1]] >= d:
+                    parent[last] = open_[-1]
+            if depth[open_[-1]] < d:  # a new node, above what was just closed
+                depth.append(d)
+                low.append(low[last] if last >= 0 else i - 1)
+                high.append(n - 1)
+                parent.append(-1)
+                if last >= 0:
+                    parent[last] = len(depth) - 1
+                open_.append(len(depth) - 1)
+        for below, above in zip(open_[:0:-1], open_[-2::-1]):
+            parent[below] = above
+        self.depth, self.low, self.high, self.parent = (np.array(x, np.int64) for x in (depth, low, high, parent))
+
+    def classes(self, least: int) -> np.ndarray:
+        """Of each suffix, in the order given, the highest node of at least that depth above it, as a number; its own where there is none."""
+        above = np.where(self.parent < 0, -1, self.depth[self.parent])
+        deep = (self.depth >= least) & (above < least)
+        inner = np.zeros(len(self.leaves) + 1, np.int64)
+        np.add.at(inner, self.low[deep] + 1, 1)
+        np.add.at(inner, self.high[deep] + 1, -1)
+        out = np.empty(len(self.leaves), np.int64)
+        out[self.leaves] = np.cumsum(np.cumsum(inner[:-1]) == 0)
+        return out
 
 
 def marks(rows: list[dict], width: int = LENGTH) -> list[np.ndarray]:
-    """For each segment, which of its windows start again among ``rows`` (seg, n, m)."""
+    """For each segment, which of its windows start again among ``rows`` (seg, o, n, m): by nodes of the trees to both sides of anchors."""
     words = [r["seg"].split(b" ") for r in rows]
     ranks: dict[bytes, int] = {}
-    text = np.array([ranks.setdefault(w, len(ranks)) for ws in words for w in ws], np.int64)
-    count = np.array([r["n"] for r in rows], np.int64)
-    begin = np.concatenate(([0], np.cumsum([len(w) for w in words])))[:-1]
+    o, count, m = (np.array([r[c] for r in rows], np.int64) for c in ("o", "n", "m"))
+    most = max(1, int(o.max()))
+    right, left = np.zeros((len(rows), width), np.int64), np.zeros((len(rows), most), np.int64)
+    for i, (ws, at) in enumerate(zip(words, o.tolist())):
+        x = [ranks.setdefault(w, len(ranks) + 1) for w in ws]
+        after = x[at : at + width]
+        right[i, : len(after)] = after
+        left[i, :at] = x[:at][::-1]
+    after, before = Subtree(right), Subtree(left)
     flat_at = np.concatenate(([0], np.cumsum(count)))
-    which = np.repeat(np.arange(len(rows)), count)
-    at = begin[which] + np.arange(int(flat_at[-1])) - flat_at[which]
-    tree = Subtree(text[at[:, None] + np.arange(width)[None, :]])
-    node = tree.deep(width)
-    weight = np.bincount(node, weights=np.array([r["m"] for r in rows], np.float64)[which[tree.leaves]])
-    flat = np.zeros(len(at), bool)
-    flat[tree.leaves] = weight[node] > 1
+    flat = np.zeros(int(flat_at[-1]), bool)
+    for back in range(int((o - count + 1).min()), int(o.max()) + 1):
+        have = np.flatnonzero((o >= back) & (o - count + 1 <= back))
+        if len(have):
+            both = after.classes(width - back)[have] * (len(rows) + 1) + before.classes(back)[have]
+            _, which = np.unique(both, return_inverse=True)
+            again = have[np.bincount(which, weights=m[have])[which] > 1]
+            flat[flat_at[again] + o[again] - back] = True
     return [flat[a:b] for a, b in zip(flat_at[:-1].tolist(), flat_at[1:].tolist())]
 
 
