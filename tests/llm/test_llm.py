@@ -438,6 +438,14 @@ def test_nearest_against_brute_force(spark):
     assert nearest.nearest(df.filter("vec_id < 0"), "id % 20 = 0").count() == 0
 
 
+def test_nearest_with_clashing_names(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=8)]) for i in range(60)], "vec_id long, embedding array<double>")
+    wide = df.selectExpr("*", "1 as id", "2 as v", "3 as t", "4 as code", "'x' as band", "5 as norm")
+    same = lambda x: sorted(map(tuple, nearest.nearest(x, "id % 20 = 0", k=3).collect()))
+    assert same(wide) == same(df) and len(same(df)) == 9
+
+
 def test_nearest_with_an_outlier_norm(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(40, 32))[rng.integers(0, 40, 3000)] + 0.7 * rng.normal(size=(3000, 32))

@@ -363,7 +363,8 @@ def _sets(docs: DataFrame, texts: DataFrame, nodes: DataFrame, k: int) -> DataFr
 def _plausible(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that may be as similar as asked by their sketches, which are a sixtieth of their sets."""
     nodes = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    found = written(texts.select("c", "n", "sketch").join(nodes, "c", "left_semi").dropDuplicates(["c"]), "sketches")
+    one = texts.groupBy("c").agg(F.first(F.struct("n", "sketch")).alias("x"))  # before the join, as many texts may have one set
+    found = written(one.join(nodes, "c", "left_semi").select("c", "x.*"), "sketches")
     left = pairs.join(found.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
     both = left.join(found.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b")
 
@@ -447,7 +448,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         texts = texts.select("did", "th", "c", "n", "sketch")
         often = seen.filter("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(COMMON)
         rows = written(_shared(postings(own, _sorted(often), k, percent, frozenset(clash), mask)), "shared-shingles")
-        joined = components(_links(own, texts.filter("n > 0"), rows, k, percent))
+        joined = written(components(_links(own, texts.filter("n > 0"), rows, k, percent)), "joined")  # a table, so that Spark can split a hot set
         placed = texts.join(joined, F.col("c") == F.col("node"), "left").select("did", "th", "n", F.when(F.col("n") > 0, F.coalesce("component", "c")).alias("component"))
         placed = keep(written(placed, "components"))
         least = keep(written(placed.filter("n > 0").groupBy("component").agg(F.min("did").alias("least")), "least-ids"))

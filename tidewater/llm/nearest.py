@@ -85,6 +85,7 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, id_col: str = "vec_id
 
     Ties go to the smaller id; scores are inner products in double precision. Rows that repeat an id are one, the least vector; a
     query that meets fewer than ``k`` probes every axis in a second pass, so it gets all if there are fewer. No rows give an empty result.
+    Vectors that are null, zero or of another width than the commonest, or that hold null or non-finite components, take no part.
     """
     rows = written(usable(vectors, id_col, vector_col), "vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
