@@ -35,15 +35,19 @@ def _files(spark: SparkSession, path: str):
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what lies there goes when the session's file systems close, or before by ``temporary``."""
+    """A new path in the shared folder, for ``temporary`` to remove."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, place = _files(spark, path)
-    fs.deleteOnExit(place)
     if stack := getattr(_scratch, "stack", None):
         stack[-1].append((spark, path))
     return path
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """What lies at the path goes when the session's file systems close, if it is still there."""
+    fs, place = _files(spark, path)
+    fs.deleteOnExit(place)
+
+
 _scratch = threading.local()
 _cleaning, _writers = threading.Lock(), 0
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -98,6 +102,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     with _shuffles_freed(spark):
         df.write.option("compression", "zstd").parquet(path)
+    until_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import new_path, pieces
+from tidewater.llm.common import new_path, pieces, until_exit
 from tidewater.llm.tokenizing import encoder
 
 _POLY = 0x82F63B78
@@ -194,7 +194,10 @@ def read_records(path: str, file: str, order: list[int]) -> list[bytes]:
 
 
 def encode_all(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None, **how) -> DataFrame:
-    """Writes ``docs`` to ``path`` (a new folder under the shared one) and reads them back."""
+    """Writes ``docs`` to ``path`` and reads them back; without one, to a new folder under the shared one, which goes with the session."""
     spark: SparkSession = docs.sparkSession
-    path = path or new_path(spark, "tokens")
-    return read_tokens(write_tokens(docs, tokenizer, end_id, path, **how), path)
+    own = path or new_path(spark, "tokens")
+    files = write_tokens(docs, tokenizer, end_id, own, **how)
+    if path is None:
+        until_exit(spark, own)
+    return read_tokens(files, own)
