@@ -244,10 +244,12 @@ def repeated(docs: DataFrame, unit: Unit, marks: Callable[[list[dict]], list[np.
         distinct = written(distinct.select("h", "sk", "x.*", "m"), "segments")
         size = written(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("g")), "group-sizes")
         text = written(_extract(docs, distinct.join(size, "h"), unit, group), "segment-texts")
+        discard(distinct)
         runs = _by_group(text.filter("not divided"), marks, ("h", "sk"))
         if not size.filter(F.col("g") > group).isEmpty():
             runs = runs.unionByName(_divided(text.filter("divided").drop("divided"), unit, marks, group))
         runs = written(runs, "repeated-runs")
+        discard(text)
         where = found.select("h", "sk", "did", "th", "s").join(runs, ["h", "sk"])
         pair = F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") - 1 + unit.width).alias("b"))
         return keep(written(where.groupBy("did", "th").agg(F.collect_set(pair).alias("spans")), "repeated-spans"))
