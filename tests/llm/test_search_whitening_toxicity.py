@@ -1,0 +1,225 @@
+"""Lexical search, whitening and toxicity against brute force, closed forms and numerical derivatives."""
+
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from tidewater.llm import lexical_search, toxicity, whitening
+
+SCHEMA = "doc_id long, text string"
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_rng = np.random.default_rng(4)
+_WORDS = ["".join(_rng.choice(list("abcdE9é"), _rng.integers(1, 5))) for _ in range(150)]
+
+
+def _terms(text):
+    return TERM.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def _plain(docs, items, k):
+    """Every document against every item by the formula."""
+    counted = [(i, t) for i, x in docs if (t := _terms(x))]
+    n, length = len(counted), sum(len(t) for _, t in counted)
+    df = {}
+    for _, t in counted:
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    out = []
+    for item, text in sorted(set(items), key=repr):
+        scores = []
+        for did, t in counted:
+            m = 50 + (50 * len(t) * n) // length
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * ((1_000_000_000 * t.count(w)) // (1000 * t.count(w) + 20 * m)) for w in set(_terms(text)) if w in df)
+            if s > 0:
+                scores.append((-s, did is None, did, s))
+        out += [(item, r, did, s) for r, (_, _, did, s) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def _texts():
+    prose = [" ".join(_rng.choice(_WORDS, int(n))) for n in _rng.integers(1, 80, 160)]
+    return [None, "", " .,; ", "x" * 300_000, *prose, *[prose[3]] * 40, "Aa-aA aA ÀÉ é1 ١٢", ("lone " * 250_000) + "aa"]
+
+
+DOCS = [(i, t) for i, t in enumerate(_texts())] + [(None, "aa bb cc"), (None, "aa bb cc"), (7, "aa bb"), (7, "aa bb")]
+ITEMS = [(i, " ".join(_rng.choice(_WORDS, 12))) for i in range(30)] + [(90, None), (91, ""), (92, "nosuchterm"), (93, "lone AA"), (3, "aa bb"), (3, "aa bb"), (None, "cc")]
+
+
+def test_search_equals_all_pairs(spark, monkeypatch):
+    """Small chunks and leaves, so that trees have all their levels; null ids, repeated rows, ties and very long texts are among them."""
+    monkeypatch.setattr(lexical_search, "CHUNK", 64)
+    monkeypatch.setattr(lexical_search, "LEAF", 4)
+    monkeypatch.setattr(lexical_search, "FANOUT", 4)
+    docs = spark.createDataFrame(DOCS, SCHEMA).selectExpr("*", "1 as did", "2 as th", "3 as n", "'x' as ids", "5 as score")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string").selectExpr("*", "1 as rank", "7 as doc_id")
+    for k, block in ((5, 1 << 20), (50, 200)):
+        got = lexical_search.search(docs.repartition(3), items, k=k, block_bytes=block).collect()
+        assert sorted(map(tuple, got), key=repr) == _plain(DOCS, ITEMS, k)
+
+
+def test_search_prunes_whole_batches():
+    """Most pairs are never scored once the best are found."""
+    rng = np.random.default_rng(0)
+    docs, terms, items = 4000, 400, 40
+    weights = rng.integers(500, 9000, terms)
+    tree = lexical_search.Items([sorted(rng.choice(np.arange(g * 40, g * 40 + 40), 6, replace=False)) for g in np.arange(items) % 10], weights)
+    best = lexical_search.Best(items, np.zeros(items, np.int64), 10)
+    scored = 0
+    for c in range(4):
+        cells = np.full(1000, 20)
+        topic = rng.integers(0, 10, 1000)
+        ids = np.concatenate([np.sort(rng.choice(np.arange(t * 40, t * 40 + 40), 20, replace=False)) for t in topic])
+        did = np.arange(c * 1000, c * 1000 + 1000)
+        scored += lexical_search.search_chunk(tree, best, did, np.zeros(1000, np.int64), did, rng.integers(20, 90, 1000), cells, ids, rng.integers(1, 4, len(ids)), docs, docs * 50)
+    assert all(len(r) == 10 for r in best.rows) and scored < 0.25 * docs * items
+
+
+def test_search_without_rows(spark):
+    none, items = spark.createDataFrame([], SCHEMA), spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert lexical_search.search(none, items).count() == 0
+    assert lexical_search.search(spark.createDataFrame(DOCS[:9], SCHEMA), items.limit(0)).count() == 0
+
+
+def test_terms_of_long_texts_are_cut_between_terms(monkeypatch):
+    raw = ("Ab é, " * 900).encode()
+    whole = [t for part in lexical_search.terms(raw) for t in part]
+    monkeypatch.setattr(lexical_search, "_PIECE", 50)
+    assert [t for part in lexical_search.terms(raw) for t in part] == whole and len(whole) == 1800
+
+
+# ---------------------------------------------------------------- whitening
+
+
+def _matrices():
+    rng = np.random.default_rng(0)
+    q, p = (np.linalg.qr(rng.normal(size=(24, 24)))[0] for _ in range(2))
+    wilkinson = np.diag(np.abs(np.arange(-10, 11.0))) + np.diag(np.ones(20), 1) + np.diag(np.ones(20), -1)
+    yield from (np.triu(rng.normal(size=(40, 40))), np.linalg.qr(rng.normal(size=(5000, 32)), mode="r"), np.eye(10), np.diag([3, 3, 3, 2, 1.0]), np.ones((6, 6)))
+    yield from (q @ np.diag([5] * 6 + [1] * 18) @ q.T, q @ np.diag(np.r_[1 + np.arange(8) * 1e-9, np.full(16, 1e-3)]) @ p, q @ np.diag(10.0 ** -np.arange(24)) @ p, np.linalg.cholesky(wilkinson + 2 * np.eye(21)).T)
+    yield np.array([[1 / (i + j + 1) for i in range(12)] for j in range(12)])
+
+
+@pytest.mark.parametrize("r", list(_matrices()))
+def test_leading_values_and_vectors(r):
+    values, z = whitening.leading(r, 4)
+    true = np.linalg.svd(r, compute_uv=False) ** 2
+    assert np.abs(values - true[:4]).max() <= 1e-13 * true[0] and np.abs(z.T @ z - np.eye(4)).max() < 1e-13
+    assert np.abs(r.T @ (r @ z) - z * values).max() <= 1e-13 * true[0]
+
+
+def test_dqds_is_accurate_for_small_values():
+    """A graded bidiagonal matrix whose values span forty powers of ten, against exact products of its own."""
+    a, b = 10.0 ** -np.arange(0, 40, 4), 10.0 ** -np.arange(2, 38, 4)
+    got = whitening.dqds(a**2, b**2)
+    assert len(got) == 10 and abs(np.log(got).sum() - 2 * np.log(a).sum()) < 1e-9  # the determinant is the product of the diagonal
+    assert all(whitening._below(a**2, b**2, x * (1 - 1e-12)) <= 9 - i <= whitening._below(a**2, b**2, x * (1 + 1e-12)) for i, x in enumerate(got))
+
+
+def test_whitening_equals_closed_form(spark):
+    rng = np.random.default_rng(2)
+    v = (rng.normal(size=(300, 6)) @ np.diag([3, 2, 1.5, 1, 0.5, 0.1])).astype(np.float32).tolist()
+    odd = [None, [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] * 6, [float("inf")] + [0.0] * 5]
+    rows = [(i, x) for i, x in enumerate(v)] + [(900 + i, x) for i, x in enumerate(odd)] + [(5, v[7]), (None, v[7]), (6, v[6])] + [(1000 + i, v[0]) for i in range(200)] + [(2000, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "2 as x", "'c' as component").repartition(40)
+    got = whitening.whiten(df, whitening.fit(df)).collect()
+    use = [(i, np.floor(256 * np.array(x if x else [0.0] * 6)).astype(int)) for i, x in rows if x is not None and all(c is not None and math.isfinite(c) for c in x)]
+    f = np.unique(np.stack([x for _, x in use]), axis=0)
+    n, s = len(f), f.sum(axis=0)
+    c = (f * n - s) / n
+    e, u = np.linalg.eigh(c.T @ c / n)
+    e, u = e[::-1], u[:, ::-1]
+    assert len(got) == 4 * len(use) and {r["n"] for r in got} == {n} and got[0]["identity_error"] < 1e-12
+    for k in range(4):
+        own = sorted((-1 if r["id"] is None else r["id"], r["deviation"], r["whitened"]) for r in got if r["component"] == k + 1)
+        assert abs({r["explained"] for r in got if r["component"] == k + 1}.pop() / (e[k] / e.sum()) - 1) < 1e-10
+        want = sorted((-1 if i is None else i, int(((n * x - s) ** 2).sum()), float((x - s / n) @ u[:, k] / math.sqrt(e[k]))) for i, x in use)
+        assert [a[:2] for a in own] == [a[:2] for a in want]
+        sign = np.sign(own[0][2] * next(w[2] for w in want if w[:2] == own[0][:2]))
+        assert np.allclose(sorted(a[2] for a in own), sorted(sign * a[2] for a in want), atol=1e-9)
+
+
+def test_whitening_edges(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for rows in ([], [(1, None)], [(1, [])]):
+        assert whitening.whiten(frame(rows), whitening.fit(frame(rows))).count() == 0
+    one = whitening.whiten(frame([(1, [1.0, 2.0]), (2, [1.0, 2.0])]), whitening.fit(frame([(1, [1.0, 2.0]), (2, [1.0, 2.0])]))).collect()
+    assert [(r["n"], r["deviation"], r["whitened"], r["explained"], r["identity_error"]) for r in one] == [(1, 0, None, None, None)] * 4
+    huge = frame([(1, [1e300, 0.0]), (2, [-1e300, 1.0]), (3, [0.0, -0.0])])
+    out = whitening.whiten(huge, whitening.fit(huge)).collect()
+    assert len(out) == 6 and all(math.isfinite(r["explained"]) for r in out) and {r["deviation"] for r in out if r["id"] == 1} == {None}
+
+
+# ---------------------------------------------------------------- toxicity
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(1)
+    p = {k: v.astype(float) + rng.normal(size=v.shape) * 0.1 for k, v in toxicity.initial(3, np.float64).items() if k not in ("word", "gram")}
+    x, c = rng.normal(size=(9, toxicity.INPUT)), rng.normal(size=5)
+    ids, mask = rng.integers(0, 9, (toxicity.WINDOW, 5)), np.arange(toxicity.WINDOW)[:, None] < np.array([32, 32, 7, 1, 0])
+    loss = lambda: float(c @ toxicity.forward(p, {s: x @ p[f"w{s}"] + p[f"c{s}"] for s in "fb"}, ids, mask))
+    tape = {}
+    toxicity.forward(p, {s: x @ p[f"w{s}"] + p[f"c{s}"] for s in "fb"}, ids, mask, tape)
+    g, gx = toxicity.backward(p, x, ids, mask, tape, c)
+    for name, of in [*((k, p[k]) for k in g), ("x", x)]:
+        i = tuple(rng.integers(0, n) for n in of.shape)
+        before, e = of[i], 1e-6
+        of[i] = before + e
+        up = loss()
+        of[i] = before - e
+        down = loss()
+        of[i] = before
+        assert abs((up - down) / (2 * e) - (gx if name == "x" else g[name])[i]) < 1e-7, name
+
+
+def _toxic_rows(n):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("aeiourstnl"), 5)) for _ in range(400)]
+    rows = []
+    for i in range(n):
+        w = list(rng.choice(words, int(rng.integers(20, 300))))
+        if i % 4 == 0:
+            for _ in range(3):
+                w[int(rng.integers(0, len(w)))] = "Zukk" + str(rng.choice(words))[:2]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_toxicity_learns_words_by_their_spelling(spark):
+    rows = _toxic_rows(400)
+    docs = spark.createDataFrame([*rows, (9000, None), (9001, ""), (9002, "..."), (None, rows[0][1]), (9003, rows[1][1] * 3000 + " zukkin zukkar zukkel"), (9004, "y" * 2_000_000)], SCHEMA).selectExpr("*", "1 as did", "2 as n", "'b' as toxic")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(2, None), (77777, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, steps=150)
+    out = toxicity.score(docs, model).collect()
+    by = {r["did"]: r for r in out}
+    assert len(out) == 406 and all(r["held_out"] == (r["did"] is not None and zlib.crc32(str(r["did"]).encode()) % 4 == 2) for r in out)
+    held = [r for r in out if r["held_out"] and r["did"] < 400]
+    assert sum(r["predicted"] == int(r["did"] % 4 == 0) for r in held) >= 0.97 * len(held) > 50
+    assert by[9000]["score"] == by[9001]["score"] == by[9002]["score"] and by[9003]["predicted"] == 1  # the last words of a long text count
+    again = toxicity.fit(docs.repartition(5), labels, steps=150)
+    assert all((again.p[k] == v).all() for k, v in model.p.items())
+
+
+def test_toxicity_edges(spark):
+    none, labels = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(none, labels)
+    assert toxicity.score(none, model).count() == 0 and toxicity.score(spark.createDataFrame([(1, None)], SCHEMA), model).first()["score"] == 0.5
+    assert toxicity.train([([2], b"a b")], np.array([1])).scores(np.zeros(1))[0] > 0.5
+
+
+def test_windows_cover_every_word():
+    for n in (0, 1, 31, 32, 33, 56, 57, 500, 1001):
+        at = toxicity.window_starts(n)
+        assert n <= toxicity.WINDOW or set((at[:, None] + np.arange(toxicity.WINDOW)).ravel()) == set(range(n))
+
+
+def test_padding_does_not_change_a_margin():
+    """A short text alone and among others."""
+    model = toxicity.Model(toxicity.initial(), 1.0, 0.0)
+    model.p["word"][:] = np.random.default_rng(0).normal(size=model.p["word"].shape)
+    texts = [b"one two three", b"", ("many words " * 60).encode(), b"x"]
+    alone = [model.margins([t])[0] for t in texts]
+    assert np.allclose(model.margins(texts), alone, atol=1e-5)
