@@ -30,7 +30,9 @@ WORD_BITS, GRAM_BITS, GRAMS = 17, 17, (3, 4)
 INPUT, HIDDEN, LOOK = 8, 8, 8
 #: A word or run that fewer labelled rows have gets no vector.
 LEAST_ROWS = 3
-BATCH, STEPS, RATE, TABLE_RATE = (16, 40), 500, 5e-3, 0.1
+BATCH, STEPS, RATE, TABLE_RATE = (16, 40), 300, 1e-2, 0.3
+#: Training ends once toxic rows were read so often, but not before LEAST_STEPS; few rows would else be learned by heart.
+READINGS, LEAST_STEPS = 30, 80
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -346,8 +348,9 @@ def train(rows: list[tuple[list[int], bytes]], labels: np.ndarray, steps: int =
         return np.concatenate((np.zeros(pad, np.int64), number[real])), grams[own], np.concatenate((np.zeros(pad, np.int64), c))
 
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items() if k not in ("word", "gram")}
-    square = {k: np.full_like(p[k], 1e-6) for k in ("word", "gram")}
+    square = {k: np.full_like(p[k], 1e-10) for k in ("word", "gram")}
     rng, pools = np.random.default_rng(seed), [fit[labels[fit] > 0], fit[labels[fit] <= 0]]
+    steps = min(steps, max(LEAST_STEPS, READINGS * len(pools[0]) // BATCH[0]))
     for step in range(1, steps + 1):
         # batches hold as many of each class always; the curve fitted afterwards brings the shares back
         chosen = np.concatenate([rng.choice(x, min(n, len(x)), replace=False) for x, n in zip(pools, BATCH)])
