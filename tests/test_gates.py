@@ -106,7 +106,8 @@ def test_links_of_another_patient_fail(spark):
 def test_day_windows_include_both_ends(spark):
     v = spark.createDataFrame([(10, datetime(2020, 1, 1, 12), datetime(2020, 1, 2, 12))], "visit_id long, start timestamp_ntz, predictor_end timestamp_ntz")
     e = spark.createDataFrame([(i, 10, datetime(2020, 1, d)) for i, d in enumerate((1, 2, 3))], "event_id int, linked_visit long, event_datetime timestamp_ntz")
-    out = linkage.qualify(e, v, date_only=True).collect()
+    e = e.selectExpr("*", "to_date(event_datetime) as event_date", "'date' as event_time_precision")
+    out = linkage.qualify(e, v, 24, "procedures").collect()
     assert sorted(r["event_id"] for r in out) == [0, 1] and all(r["hours_from_start"] is None for r in out)
 
 

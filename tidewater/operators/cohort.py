@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.normalise import canonical_float
 from tidewater.operators.audit import checked, sole
 from tidewater.operators.numbering import numbered
+from tidewater.operators.ranges import range_cells
 
 
 @dataclass(frozen=True)
@@ -126,11 +127,12 @@ def boundary_subsample(df: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def prior_use(df: DataFrame, encounters: DataFrame, rules: CohortRules) -> DataFrame:
-    """Of each row of ``df``: distinct earlier visits, and acute ones, with start - look-back <= prior < start."""
-    prior = encounters.select(F.col("patient_id").alias("pp"), F.col("visit_id").alias("pv"), F.col("start").alias("ps"), F.lower("visit_type").isin(*rules.acute).alias("pa"))
-    near = (F.col("ps") < F.col("start")) & (F.col("ps") >= F.col("start") - days(rules.lookback_days))
-    pairs = df.select("visit_id", "patient_id", "start").join(prior, (F.col("patient_id") == F.col("pp")) & near, "left")
-    out = pairs.groupBy("visit_id").agg(F.count_distinct("pv").alias("prior_visits"), F.count_distinct(F.when(F.col("pa"), F.col("pv"))).alias("prior_acute_visits"))
+    """Of each row of ``df``: earlier visits, and acute ones, with start - look-back <= prior < start. Visits have one start each."""
+    prior = encounters.select("patient_id", "visit_id", F.col("start").alias("ps"), F.coalesce(F.lower("visit_type").isin(*rules.acute), F.lit(False)).alias("pa")).distinct()
+    own = df.select("visit_id", "patient_id", F.col("start").alias("high")).distinct().withColumn("low", F.col("high") - days(rules.lookback_days))
+    cells = range_cells(prior, "ps", ["pa"], own, "low", "high", "patient_id", max(1, rules.lookback_days // 8))
+    found = cells.groupBy("visit_id").agg(F.sum("n").alias("a"), F.sum(F.when(F.col("pa"), F.col("n"))).alias("b"))
+    out = df.select("visit_id").distinct().join(found, "visit_id", "left").select("visit_id", F.coalesce("a", F.lit(0)).cast("long").alias("prior_visits"), F.coalesce("b", F.lit(0)).cast("long").alias("prior_acute_visits"))
     return out.withColumn("any_prior", (F.col("prior_visits") > 0).cast("int"))
 
 

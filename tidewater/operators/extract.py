@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators.cohort import CohortRules, days, hours
+from tidewater.operators.audit import sole
+from tidewater.operators.cohort import CohortRules, age_by_anchor, hours
+from tidewater.operators.ranges import before_any
 from tidewater.sources.scans import members
 
 
@@ -16,14 +18,17 @@ def candidates(encounters: DataFrame, rules: CohortRules) -> DataFrame:
 
 
 def native_candidates(encounters: DataFrame, patients: DataFrame, deaths: DataFrame, rules: CohortRules) -> DataFrame:
-    """(visit_id, patient_id), distinct: acute visits of patients in the age range that do not end before they start, nor after an early death.
+    """(visit_id, patient_id), distinct: acute visits in the age range that do not end before they start and were not cut short by death.
 
-    Ages are the anchors; a death counts as early by the day of the horizon.
+    Ages are at the start, from the anchors. Deaths are of the visit (visit_id, death_date, once each): one by the day of the
+    landmark ends it; a table of deaths without visits ends none. Visits without an id, a patient, a start or an age are left out.
     """
-    rows = encounters.join(patients.select("patient_id", "age_anchor"), "patient_id").join(deaths.select("patient_id", "death_date"), "patient_id", "left")
-    rows = rows.filter(F.col("age_anchor").between(*rules.age) & F.lower("visit_type").isin(*rules.acute) & (F.col("end").isNull() | (F.col("end") >= F.col("start"))))
-    alive = F.col("death_date").isNull() | (F.col("death_date") > F.to_date(F.col("start") + days(rules.horizon_days)))
-    return rows.filter(alive).select("visit_id", "patient_id").distinct()
+    rows = encounters.join(sole(patients.select("patient_id", "age_anchor", "age_anchor_year"), ["patient_id"]), "patient_id", "left").withColumn("age", age_by_anchor(F.col("start")))
+    rows = rows.filter(F.col("visit_id").isNotNull() & F.col("patient_id").isNotNull() & F.col("age").between(*rules.age) & F.lower(F.trim("visit_type")).isin(*rules.acute) & (F.col("end").isNull() | (F.col("end") >= F.col("start"))))
+    if "visit_id" in deaths.columns:
+        rows = rows.join(sole(deaths.filter("visit_id is not null").select("visit_id", "death_date"), ["visit_id"]), "visit_id", "left")
+        rows = rows.filter(F.col("death_date").isNull() | (F.col("death_date") > F.to_date(F.col("start") + hours(rules.landmark_hours))))
+    return rows.select("visit_id", "patient_id").distinct()
 
 
 def within_bounds(events: DataFrame, cohort: DataFrame, time: str, before: int = 0, after: int = 0) -> DataFrame:
@@ -50,20 +55,14 @@ def domain_events(events: DataFrame, cohort: DataFrame, bridge: DataFrame) -> Da
     return first.unionByName(second).unionByName(third)
 
 
-def _earlier(rows: DataFrame, time: str, cohort: DataFrame, lookback_days: int) -> DataFrame:
-    own = cohort.select(F.col("patient_id").alias("__p"), F.col("start").alias("__s"))
-    near = (F.col("patient_id") == F.col("__p")) & (F.col(time) < F.col("__s")) & (F.col(time) >= F.col("__s") - days(lookback_days))
-    return rows.join(own, near, "left_semi")
-
-
 def prior_encounters(encounters: DataFrame, cohort: DataFrame, lookback_days: int = 365) -> DataFrame:
     """Distinct encounters of the cohort's patients that start before one of its visits, within the look-back."""
-    return _earlier(encounters, "start", cohort, lookback_days).distinct()
+    return before_any(encounters, "start", cohort, "start", "patient_id", lookback_days).distinct()
 
 
 def prior_diagnoses(diagnoses: DataFrame, cohort: DataFrame, lookback_days: int = 365) -> DataFrame:
     """Diagnoses (patient_id, diagnosis_datetime, ...) with start - look-back <= time < start for a visit of the patient."""
-    return _earlier(diagnoses, "diagnosis_datetime", cohort, lookback_days)
+    return before_any(diagnoses, "diagnosis_datetime", cohort, "start", "patient_id", lookback_days)
 
 
 def admitted(measurements: DataFrame, observations: DataFrame, mode: str) -> DataFrame:

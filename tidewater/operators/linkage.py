@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators.audit import checked, sole
+from tidewater.operators.ranges import range_join
 
 
 def interval_link(events: DataFrame, visits: DataFrame) -> DataFrame:
     """(event_id, candidates, visit_id): visits of the patient with start <= time < predictor_end; visit_id where there is just one."""
-    v = visits.select(F.col("patient_id").alias("vp"), F.col("visit_id").alias("vv"), F.col("start").alias("vs"), F.col("predictor_end").alias("ve"))
-    inside = (F.col("patient_id") == F.col("vp")) & (F.col("event_datetime") >= F.col("vs")) & (F.col("event_datetime") < F.col("ve"))
-    return events.join(v, inside).groupBy("event_id").agg(F.count(F.lit(1)).alias("candidates"), F.min("vv").alias("vv")).select("event_id", "candidates", F.when(F.col("candidates") == 1, F.col("vv")).alias("visit_id"))
+    v = visits.select(F.col("patient_id").alias("__on"), F.col("visit_id").alias("vv"), F.col("start").alias("vs"), F.col("predictor_end").alias("ve"))
+    return range_join(events, "event_datetime", v, "vs", "ve", "patient_id").groupBy("event_id").agg(F.count(F.lit(1)).alias("candidates"), F.min("vv").alias("vv")).select("event_id", "candidates", F.when(F.col("candidates") == 1, F.col("vv")).alias("visit_id"))
 
 
 def link(events: DataFrame, cohort: DataFrame, all_visits: DataFrame, bridge: DataFrame, strict: bool = False) -> DataFrame:
@@ -28,6 +28,8 @@ def link(events: DataFrame, cohort: DataFrame, all_visits: DataFrame, bridge: Da
     df = df.withColumn("named", F.coalesce("source_visit_id", "bv"))
     df = df.join(own, F.col("named") == F.col("cv"), "left").join(known, F.col("named") == F.col("av"), "left")
     free = events.filter("source_visit_id is null and bridge_key is null and event_datetime is not null")
+    if "event_time_precision" in events.columns:  # a day alone is in no interval of times
+        free = free.filter("event_time_precision = 'datetime'")
     by_time = interval_link(free.select("event_id", "patient_id", "event_datetime"), cohort).select(F.col("event_id").alias("te"), "candidates", F.col("visit_id").alias("tv"))
     df = df.join(by_time, F.col("event_id") == F.col("te"), "left")
     direct, bridged = F.col("source_visit_id").isNotNull(), F.col("source_visit_id").isNull() & F.col("bridge_key").isNotNull()
@@ -47,14 +49,29 @@ def link(events: DataFrame, cohort: DataFrame, all_visits: DataFrame, bridge: Da
     return out.withColumn("linked_visit", F.when(F.col("linkage_strategy") == "patient_time", F.col("tv")).when(F.col("linkage_strategy").isNotNull(), F.col("named"))).drop("bk", "bv", "named", "cv", "cp", "av", "te", "tv")
 
 
-def qualify(linked: DataFrame, cohort: DataFrame, date_only: bool = False) -> DataFrame:
-    """Linked events inside their visit's window, with hours_from_start (null where the day alone is known)."""
+#: The domains whose events may have a day instead of a time.
+DATED = ("procedures",)
+
+
+def qualify(linked: DataFrame, cohort: DataFrame, window_hours: int | None = None, domain: str | None = None) -> DataFrame:
+    """Linked events inside their visit's window, with hours_from_start (null where the day alone is known).
+
+    Times lie in start <= time < predictor_end. Rows whose event_time_precision is "date" have an event_date instead, from the day of
+    the start to the day of start + ``window_hours``, both included and whether or not the visit ended before: the query fails at
+    such a row if the domain is not one of DATED or no window is given. Another precision, or none, qualifies nothing.
+    """
     c = cohort.select(F.col("visit_id").alias("linked_visit"), "start", "predictor_end", *[x for x in ("cohort_visit_number",) if x in cohort.columns])
     df = linked.filter("linked_visit is not null").join(c, "linked_visit")
-    if date_only:
-        last = F.to_date(F.col("predictor_end"))
-        return df.filter((F.to_date("event_datetime") >= F.to_date("start")) & (F.to_date("event_datetime") <= last)).withColumn("hours_from_start", F.lit(None).cast("double"))
-    return df.filter((F.col("event_datetime") >= F.col("start")) & (F.col("event_datetime") < F.col("predictor_end"))).withColumn("hours_from_start", hours_between(F.col("start"), F.col("event_datetime")))
+    exact = (F.col("event_datetime") >= F.col("start")) & (F.col("event_datetime") < F.col("predictor_end"))
+    hours = hours_between(F.col("start"), F.col("event_datetime"))
+    if "event_time_precision" not in linked.columns:
+        return df.filter(exact).withColumn("hours_from_start", hours)
+    timed, dated = F.col("event_time_precision") == "datetime", F.col("event_time_precision") == "date"
+    if domain not in DATED or window_hours is None:
+        fails = F.raise_error(F.lit(f"an event of {domain or 'a domain'} has a day alone")).cast("boolean")
+        return df.filter(F.when(dated, fails).otherwise(timed & exact)).withColumn("hours_from_start", hours)  # one condition, so that none hides the other
+    day = (F.col("event_date") >= F.to_date("start")) & (F.col("event_date") <= F.to_date(F.col("start") + F.expr(f"make_dt_interval(0, {window_hours})")))
+    return df.filter((timed & exact) | (dated & day)).withColumn("hours_from_start", F.when(timed, hours))
 
 
 def hours_between(a: Column, b: Column) -> Column:

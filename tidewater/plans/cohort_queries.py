@@ -72,9 +72,12 @@ def _(spark, d):
     return X.within_bounds(B.domain_events(spark, d), _candidates(spark, d), "event_datetime", after=90 * 24).select("event_id")
 
 
-@query("native_candidates", "with {views} select distinct e.visit_id, e.patient_id from encounters e join patients p using (patient_id) left join deaths d using (patient_id) where p.age_anchor between 18 and 60 and lower(e.visit_type) in ('1-urgent', '2-high') and (e.\"end\" is null or e.\"end\" >= e.\"start\") and (d.death_date is null or d.death_date > cast(e.\"start\" + interval 30 day as date))")
+@query("native_candidates", "with {views}, vd as (select o_orderkey as visit_id, cast(o_orderdate + to_days(cast(o_orderkey % 50 as integer)) as date) as death_date from orders where o_orderstatus = 'F') select distinct e.visit_id, e.patient_id from encounters e left join patients p using (patient_id) left join vd d using (visit_id) where p.age_anchor + year(e.\"start\") - p.age_anchor_year between 18 and 60 and lower(e.visit_type) in ('1-urgent', '2-high') and (e.\"end\" is null or e.\"end\" >= e.\"start\") and (d.death_date is null or d.death_date > cast(e.\"start\" + interval 720 hour as date))")
 def _(spark, d):
-    return X.native_candidates(B.encounters(spark, d), B.patients(spark, d), B.deaths(spark, d), replace(URGENT, age=(18, 60), horizon_days=30))
+    """A finished order has a death up to 49 days after its start; the landmark is 30 days after it, the horizon a year."""
+    o = B._t(spark, d, "orders", "o_orderkey", "o_orderdate", "o_orderstatus").filter("o_orderstatus = 'F'")
+    died = o.select(F.col("o_orderkey").alias("visit_id"), F.to_date(F.col("o_orderdate") + F.expr("make_dt_interval(cast(o_orderkey % 50 as int))")).alias("death_date"))
+    return X.native_candidates(B.encounters(spark, d), B.patients(spark, d), died, replace(URGENT, age=(18, 60)))
 
 
 @query("eligible_cohort", "with {cohort} select visit_id, patient_id, strftime(predictor_end, '%Y-%m-%d %H:%M:%S') as predictor_end, outcome from cohort")

@@ -68,6 +68,22 @@ def _(spark, d):
     return L.qualify(_linked(spark, d), _cohort(spark, d)).select("event_id", F.round("hours_from_start", 6).alias("hours"))
 
 
+_DATED = _LINK.split("q as (select lv")[0] + """lp as (select lv.*, case when l_linenumber % 3 = 0 then 'date' else 'datetime' end as prec from lv join (select distinct concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(l_quantity as bigint), cast(round(l_extendedprice * 100) as bigint), strftime(l_shipdate, '%Y%m%d')) as event_id, l_linenumber from lineitem) using (event_id)),
+q as (select lp.*, case when prec = 'datetime' then date_diff('microsecond', c."start", event_datetime) / 3.6e9 end as hours from lp join cohort c on c.visit_id = lp.linked_visit
+ where (prec = 'datetime' and event_datetime >= c."start" and event_datetime < c.predictor_end) or (prec = 'date' and linkage_strategy != 'patient_time' and cast(event_datetime as date) >= cast(c."start" as date) and cast(event_datetime as date) <= cast(c."start" + interval 2160 hour as date)))"""
+
+
+@query("window_qualify_dates", _DATED + " select event_id, linked_visit, prec as event_time_precision, round(hours, 6) as hours from q")
+def _(spark, d):
+    """Every third line has its day alone: it links by visit or bridge, never by time, and its window does not end with the visit."""
+    e = B.domain_events(spark, d)
+    dated = F.element_at(F.split("event_id", r"\|"), 4).cast("long") % 3 == 0
+    e = e.withColumn("event_time_precision", F.when(dated, "date").otherwise("datetime")).withColumn("event_date", F.to_date("event_datetime"))
+    linked = L.link(e, _cohort(spark, d), B.encounters(spark, d), B.bridge(spark, d), strict=True)
+    q = L.qualify(linked, _cohort(spark, d), B.RULES.window_hours, "procedures")
+    return q.select("event_id", "linked_visit", "event_time_precision", F.round("hours_from_start", 6).alias("hours"))
+
+
 _B = "with v as (select user_id as patient_id, event_id as visit_id, ts as s, ts + interval 24 hour as e from events where event_type = 'signup'), x as (select e.event_id, count(*) as candidates, case when count(*) = 1 then min(visit_id) end as visit_id from events e join v on e.user_id = v.patient_id and e.ts >= v.s and e.ts < v.e where e.event_type != 'signup' group by 1)"
 
 
