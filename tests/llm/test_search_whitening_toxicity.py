@@ -141,6 +141,23 @@ def test_whitening_equals_closed_form(spark):
         assert np.allclose(sorted(a[2] for a in own), sorted(sign * a[2] for a in want), atol=1e-9)
 
 
+def test_triangles_meet_in_levels(spark, monkeypatch):
+    """Many partitions and groups of two: the same model as from one partition."""
+    monkeypatch.setattr(whitening, "GROUP", 2)
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(120, 5)))], "vec_id long, embedding array<double>")
+    one = whitening.fit(df)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        many = whitening.fit(df)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert one.sums == many.sums and np.allclose(one.values, many.values, rtol=1e-12) and np.allclose(one.vectors, many.vectors, atol=1e-10)
+
+
 def test_whitening_edges(spark):
     frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     for rows in ([], [(1, None)], [(1, [])]):

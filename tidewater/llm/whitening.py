@@ -332,19 +332,18 @@ def fit(rows: DataFrame, components: int = COMPONENTS, id_col: str = "vec_id", v
             if len(r):
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes()], pa.binary())], ["r"])
 
-        def joined(key, batches):
+        def joined(key, group):
             r = np.zeros((0, width))
-            for batch in batches:
-                for raw in batch.column("r").to_pylist():
-                    r = np.linalg.qr(np.vstack((r, np.frombuffer(raw).reshape(-1, width))), mode="r")
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([r.tobytes()], pa.binary())], ["key", "r"])
+            for raw in group.column("r").to_pylist():
+                r = np.linalg.qr(np.vstack((r, np.frombuffer(raw).reshape(-1, width))), mode="r")
+            return pa.table({"key": pa.array([key[0].as_py()], pa.int64()), "r": pa.array([r.tobytes()], pa.binary())})
 
         level = table.mapInArrow(triangle, "r binary").select(F.spark_partition_id().cast("long").alias("key"), "r")
         while True:
             level = written(level, "triangles")
             if level.count() == 1:
                 break
-            level = level.groupBy(F.expr(f"key div {GROUP}").alias("key")).applyInArrow(joined, "key long, r binary")
+            level = level.select(F.expr(f"key div {GROUP}").alias("key"), "r").groupBy("key").applyInArrow(joined, "key long, r binary")
         r = np.zeros((width, width))
         top = np.frombuffer(level.first()["r"]).reshape(-1, width)
         r[: len(top)] = top
