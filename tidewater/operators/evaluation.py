@@ -6,12 +6,15 @@ group's rows nor its scores meet in one task.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.normalise import unit_hash
 from tidewater.operators.audit import checked
-from tidewater.operators.numbering import place_within, running
+from tidewater.operators.numbering import piece, place_within, running
+from tidewater.sources.shared import frozen
 
 
 def counts(df: DataFrame, groups: list[str], weight: Column | None = None) -> DataFrame:
@@ -49,6 +52,10 @@ def metrics(by_score: DataFrame, groups: list[str], threshold: float = 0.5) -> D
         F.sum(-F.col("pos") * F.ln(q) - F.col("neg") * F.ln(1 - q)).alias("ll"),
         F.sum(n).alias("n"),
     )
+    return _ratios(m, groups)
+
+
+def _ratios(m: DataFrame, groups: list[str]) -> DataFrame:
     sens, spec = ratio(F.col("tp"), F.col("all_pos")), ratio(F.col("tn"), F.col("all_neg"))
     return m.select(
         *groups, *[F.col(x).cast("long").alias(x) for x in ("tn", "fp", "fn", "tp")],
@@ -176,20 +183,175 @@ def decision_curve(by_score: DataFrame, groups: list[str], steps: int = 50) -> D
     return reach.select(*groups, (F.col("t") / 100).alias("threshold"), F.explode(each).alias("e")).select(*groups, "threshold", "e.*")
 
 
+def _pick(seed: int) -> Column:
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("slot").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint") % F.col("n")).alias("slot")
+
+
 def bootstrap_weights(patients: DataFrame, replicates: int, seed: int) -> DataFrame:
     """(rep, patient_id, weight): as many draws with replacement as there are patients (patient_id, slot 0..n-1), by hash."""
     n = patients.agg(F.count(F.lit(1)).alias("n"))
     draws = patients.select("slot").crossJoin(F.broadcast(n)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    pick = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("slot").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint") % F.col("n")).alias("slot")
-    drawn = draws.select("rep", pick).groupBy("rep", "slot").agg(F.count(F.lit(1)).alias("weight"))
+    drawn = draws.select("rep", _pick(seed)).groupBy("rep", "slot").agg(F.count(F.lit(1)).alias("weight"))
     return drawn.join(patients, "slot").select("rep", "patient_id", "weight")
 
 
-def bootstrap_metrics(df: DataFrame, weights: DataFrame, groups: list[str]) -> DataFrame:
-    """Metrics of every replicate and group; a replicate is shared by all groups."""
-    both = df.select("patient_id", *groups, "p", "outcome").groupBy("patient_id", *groups, "p").agg(F.sum("outcome").alias("o"), F.count(F.lit(1)).alias("c")).join(weights, "patient_id")
-    cells = both.groupBy("rep", *groups, "p").agg(F.sum(F.col("weight") * F.col("o")).alias("pos"), F.sum(F.col("weight") * (F.col("c") - F.col("o"))).alias("neg"))
-    return metrics(cells, ["rep", *groups])
+def packed_weights(patients: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(patient_id, w): the weights of ``bootstrap_weights`` as one array for each patient, two bytes a replicate."""
+    n = patients.agg(F.count(F.lit(1)).alias("n"))
+    draws = patients.select("slot").crossJoin(F.broadcast(n)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = draws.select(F.col("rep").cast("short").alias("rep"), _pick(seed)).groupBy("slot").agg(F.collect_list("rep").alias("reps"))
+
+    def pack(batches):
+        for batch in batches:
+            of = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("reps").offsets.to_numpy()))
+            w = np.bincount(of * replicates + batch.column("reps").flatten().to_numpy() - 1, minlength=batch.num_rows * replicates).reshape(batch.num_rows, replicates).astype("<u2")
+            yield pa.RecordBatch.from_arrays([batch.column("patient_id"), pa.array([x.tobytes() for x in w], pa.binary())], ["patient_id", "w"])
+
+    kind = patients.schema["patient_id"].dataType.simpleString()
+    return drawn.join(patients, "slot").select("patient_id", "reps").mapInArrow(pack, f"patient_id {kind}, w binary")
+
+
+#: Distinct keys whose sums a task holds for all replicates.
+HELD = 4096
+
+
+def _packed_sums(df: DataFrame, weights: DataFrame, groups: list[str], key: str) -> DataFrame:
+    """(groups, key, pos, neg): weighted positives and negatives at each key, arrays over replicates as bytes.
+
+    Rows are counted for each patient first; a task adds the arrays of the keys that it meets and hands on one array for each.
+    """
+    own = df.groupBy("patient_id", *groups, key).agg(F.sum("outcome").cast("int").alias("__o"), F.count(F.lit(1)).cast("int").alias("__c"))
+    names = [*groups, key]
+    rows = own.join(weights, "patient_id").select(*names, "__o", "__c", "w")
+
+    def add(batches):
+        held: dict = {}
+        pos = neg = None
+
+        def out():
+            n = len(held)
+            columns = [pa.array([k[i] for k in held], kinds[i]) for i in range(len(names))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in pos[:n]], pa.binary()), pa.array([x.tobytes() for x in neg[:n]], pa.binary())], [*names, "pos", "neg"])
+
+        kinds = None
+        for batch in batches:
+            kinds = kinds or [batch.column(i).type for i in range(len(names))]
+            for first in range(0, batch.num_rows, HELD):
+                part = batch.slice(first, HELD)
+                w = np.frombuffer(b"".join(part.column("w").to_pylist()), "<u2").reshape(part.num_rows, -1).astype(np.int32)
+                if pos is None:
+                    pos, neg = np.zeros((2 * HELD, w.shape[1]), np.int32), np.zeros((2 * HELD, w.shape[1]), np.int32)
+                if len(held) >= HELD:
+                    yield out()
+                    pos[:], neg[:] = 0, 0
+                    held.clear()
+                at = np.array([held.setdefault(k, len(held)) for k in zip(*[part.column(i).to_pylist() for i in range(len(names))])])
+                order = np.argsort(at, kind="stable")
+                here, start = np.unique(at[order], return_index=True)
+                o, c = (part.column(x).to_numpy()[order, None].astype(np.int32) for x in ("__o", "__c"))
+                pos[here] += np.add.reduceat(w[order] * o, start, axis=0)
+                neg[here] += np.add.reduceat(w[order] * (c - o), start, axis=0)
+        if held:
+            yield out()
+
+    schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
+    return rows.mapInArrow(add, f"{schema}, pos binary, neg binary")
+
+
+def _stacked(column, kind: str) -> np.ndarray:
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1)
+
+
+#: What is summed over scores for each replicate.
+_SUMS = ("tp", "fp", "fn", "tn", "u", "ap", "se", "ll")
+
+
+def bootstrap_metrics(df: DataFrame, weights: DataFrame, groups: list[str], threshold: float = 0.5) -> DataFrame:
+    """Metrics of every replicate and group; a replicate is shared by all groups. ``weights`` are ``packed_weights``.
+
+    Arrays over replicates are summed by score, scores are dealt by pieces of their range, pieces are shifted by the sums of those
+    above, and each piece gives its share of every metric: a row for each replicate exists only in the result.
+    """
+    kinds = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups)
+    keys = [*groups, "piece"]
+    sums = _packed_sums(df, weights, groups, "p").withColumn("piece", piece(F.col("p")))
+
+    def by_score(table):
+        p, where = np.unique(table.column("p").to_numpy().astype(float), return_inverse=True)
+        out = []
+        for name in ("pos", "neg"):
+            x = _stacked(table.column(name), "<i4")
+            total = np.zeros((len(p), x.shape[1]), np.int64)
+            np.add.at(total, where, x)
+            out.append(total)
+        first = table.slice(0, 1)
+        return pa.table({**{k: first.column(k) for k in keys}, "ps": pa.array([p.tobytes()], pa.binary()), "pos": pa.array([out[0].astype("<i4").tobytes()], pa.binary()), "neg": pa.array([out[1].astype("<i4").tobytes()], pa.binary()), "all_pos": pa.array([out[0].sum(axis=0).tobytes()], pa.binary()), "all_neg": pa.array([out[1].sum(axis=0).tobytes()], pa.binary())})
+
+    pieces = frozen(sums.groupBy(*keys).applyInArrow(by_score, f"{kinds}, piece long, ps binary, pos binary, neg binary, all_pos binary, all_neg binary"), "score-pieces")
+
+    def above(table):
+        order = np.argsort(-table.column("piece").to_numpy())
+        table = table.take(pa.array(order))
+        columns = {k: table.column(k) for k in keys}
+        for name in ("all_pos", "all_neg"):
+            x = _stacked(table.column(name), "<i8")
+            upto = np.cumsum(x, axis=0)
+            columns |= {f"over_{name[4:]}": pa.array([v.tobytes() for v in upto - x], pa.binary()), f"total_{name[4:]}": pa.array([upto[-1].tobytes()] * len(x), pa.binary())}
+        return pa.table(columns)
+
+    shifts = pieces.select(*keys, "all_pos", "all_neg").groupBy(*groups).applyInArrow(above, f"{kinds}, piece long, over_pos binary, total_pos binary, over_neg binary, total_neg binary")
+
+    def share(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                get = lambda name, kind: np.frombuffer(batch.column(name)[i].as_py(), kind)  # noqa: B023, E731
+                p = get("ps", "<f8")[::-1]
+                pos, neg = (get(x, "<i4").reshape(len(p), -1)[::-1].astype(float) for x in ("pos", "neg"))
+                tp, fp = (np.cumsum(x, axis=0) + get(f"over_{n}", "<i8") for x, n in ((pos, "pos"), (neg, "neg")))
+                hit, q, p = (p >= threshold)[:, None], np.clip(p, 1e-15, 1 - 1e-15)[:, None], p[:, None]
+                all_neg = get("total_neg", "<i8")
+                ap = np.divide(pos * tp, tp + fp, out=np.zeros_like(tp), where=pos > 0)
+                parts = (pos * hit, neg * hit, pos * ~hit, neg * ~hit, pos * (all_neg - fp + neg / 2), ap, pos * (1 - p) ** 2 + neg * p**2, -pos * np.log(q) - neg * np.log(1 - q))
+                own = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*[own.column(own.schema.get_field_index(g)) for g in groups], pa.array([np.stack([x.sum(axis=0) for x in parts]).tobytes()], pa.binary())], [*groups, "s"])
+
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    both = pieces.drop("all_pos", "all_neg").join(shifts.withColumnsRenamed({k: f"__{k}" for k in keys}), on).drop(*[f"__{k}" for k in keys])
+    shares = both.mapInArrow(share, f"{kinds}, s binary")
+
+    def total(table):
+        s = _stacked(table.column("s"), "<f8").sum(axis=0).reshape(len(_SUMS), -1)
+        n = s.shape[1]
+        return pa.table({**{g: pa.concat_arrays([table.column(g).combine_chunks().slice(0, 1)] * n) for g in groups}, "rep": pa.array(np.arange(1, n + 1, dtype=np.int32)), **{k: pa.array(v) for k, v in zip(_SUMS, s)}})
+
+    m = shares.groupBy(*groups).applyInArrow(total, f"{kinds}, rep int, " + ", ".join(f"{k} double" for k in _SUMS))
+    m = m.filter("tp + fp + fn + tn > 0").select("*", (F.col("tp") + F.col("fn")).alias("all_pos"), (F.col("fp") + F.col("tn")).alias("all_neg"), (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"))
+    return _ratios(m, ["rep", *groups])
+
+
+def bootstrap_curves(df: DataFrame, weights: DataFrame, groups: list[str], steps: int = 50) -> DataFrame:
+    """(groups, rep, threshold, value): the model's net benefit in each replicate, from arrays summed by the last threshold that a score reaches."""
+    kinds = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups)
+    reached = df.withColumn("k", F.least(F.floor(F.col("p") * 100 + 1e-9).cast("int"), F.lit(steps)))
+    sums = _packed_sums(reached, weights, groups, "k")
+
+    def curves(table):
+        k = np.maximum(table.column("k").to_numpy(), 0)
+        by = []
+        for name in ("pos", "neg"):
+            x = _stacked(table.column(name), "<i4")
+            total = np.zeros((steps + 1, x.shape[1]))
+            np.add.at(total, k, x)
+            by.append(np.cumsum(total[::-1], axis=0)[::-1])
+        tp, fp, n = by[0][1:], by[1][1:], by[0][0] + by[1][0]
+        t = np.arange(1, steps + 1)[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = (tp / n - fp / n * (t / (100 - t))).ravel()
+        size, reps = len(value), value.size // steps
+        return pa.table({**{g: pa.concat_arrays([table.column(g).combine_chunks().slice(0, 1)] * size) for g in groups}, "rep": pa.array(np.tile(np.arange(1, reps + 1, dtype=np.int32), steps)), "threshold": pa.array(np.repeat(np.arange(1, steps + 1) / 100, reps)), "value": pa.array(value)})
+
+    return sums.groupBy(*groups).applyInArrow(curves, f"{kinds}, rep int, threshold double, value double").filter(~F.isnan("value"))
 
 
 def percentile_interval(long: DataFrame, groups: list[str], level: float = 0.95) -> DataFrame:

@@ -1,21 +1,26 @@
-"""Fold-wise Spark ML fits, out-of-fold predictions, importance and attribution."""
+"""Fits of four classifiers on many matrices and folds, their out-of-fold predictions, importance and attribution.
+
+A fold's columns are encoded once for all its matrices. All logistic fits take their Newton steps together: one pass over the encoded
+tables sums the gradients and Gram blocks of every fold and matrix. Tree fits are tasks of one Spark job: each reads the bins of its
+fold, which are broadcast if their size is within ``IN_MEMORY``; larger tables are fitted by Spark ML, one fit after another.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
-from hashlib import md5
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.normalise import unit_hash
+from tidewater.operators import trees as T
 from tidewater.operators.audit import ConstraintError
 
 
@@ -27,125 +32,259 @@ class FitRules:
     seed: int = 42
 
 
-#: Matrices whose fits run at the same time.
-AT_ONCE = 4
 #: Fixed order of models, which also settles ties.
 MODELS = ("logistic", "random_forest", "gbt", "gbt_small_step")
+#: The most bytes of a fold's encoded table, eight a cell, for which its trees are grown in single tasks.
+IN_MEMORY = 128 << 20
+#: Trees of a forest that one task grows.
+TREES_AT_ONCE = 75
+MISSING = "__MISSING__"
 
 
-def classifier(name: str, n: int, rules: FitRules):
-    common = {"featuresCol": "features", "labelCol": "outcome"}
-    if name == "logistic":
-        return LogisticRegression(**common, regParam=1.0 / max(1, n), elasticNetParam=0.0, standardization=False, maxIter=1000)
-    if name == "random_forest":
-        return RandomForestClassifier(**common, numTrees=rules.trees, seed=rules.seed)
-    if name == "gbt":
-        return GBTClassifier(**common, maxIter=rules.boost_rounds, maxDepth=3, stepSize=0.1, seed=rules.seed)
-    if name == "gbt_small_step":
-        return GBTClassifier(**common, maxIter=rules.small_step_rounds, maxDepth=5, stepSize=0.03, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=rules.seed)
-    raise ValueError(name)
+# ---------------------------------------------------------------- encoding
+
 
+@dataclass
+class Encoded:
+    """A fold's table (visit_id, fold, outcome, x) and what its columns are: name, source, mean and deviation among training rows."""
 
-def prepared(train: DataFrame, rows: DataFrame, numeric: list[str], categorical: list[str], scale: bool) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Training and other rows with medians, levels and scale of the training rows; columns without variance go."""
-    stats = train.agg(*[x for c in numeric for x in (F.median(c).alias(f"{c}|med"),)]).first() if numeric else {}
-    levels = {c: sorted(r[0] for r in train.select(F.coalesce(c, F.lit("__MISSING__"))).distinct().collect()) for c in categorical}  # as many rows as levels
+    fold: int
+    table: DataFrame
+    names: list[str]
+    sources: list[str]
+    mean: np.ndarray
+    sd: np.ndarray
+    rows: int
 
-    def shape(df: DataFrame) -> DataFrame:
-        cols = [F.coalesce(F.col(c).cast("double"), F.lit(float(stats[f"{c}|med"] or 0.0))).alias(c) for c in numeric]
-        cols += [(F.coalesce(c, F.lit("__MISSING__")) == v).cast("double").alias(f"{c}={v}") for c in categorical for v in levels[c]]
-        keep = [x for x in ("visit_id", "patient_id", "outcome", "fold") if x in df.columns]
-        return df.select(*keep, *cols)
+    def columns(self, sources: Iterable[str]) -> np.ndarray:
+        own = set(sources)
+        return np.array([i for i, s in enumerate(self.sources) if s in own], np.int64)
 
-    a, b = shape(train), shape(rows)
-    names = numeric + [f"{c}={v}" for c in categorical for v in levels[c]]
-    moments = a.agg(*[x for i, c in enumerate(names) for x in (F.avg(f"`{c}`").alias(f"m{i}"), F.stddev_pop(f"`{c}`").alias(f"s{i}"))]).first()
-    kept = [(i, c) for i, c in enumerate(names) if (moments[f"s{i}"] or 0.0) > 0]
-    if scale:
-        z = lambda df: df.select(*[x for x in ("visit_id", "patient_id", "outcome", "fold") if x in df.columns], *[((F.col(f"`{c}`") - moments[f"m{i}"]) / moments[f"s{i}"]).alias(c) for i, c in kept])
-        a, b = z(a), z(b)
-    return a, b, [c for _, c in kept]
+    def fits(self) -> bool:
+        return self.rows * max(1, len(self.names)) * 8 <= IN_MEMORY
 
 
-def fit(train: DataFrame, names: list[str], model: str, rules: FitRules) -> PipelineModel:
-    classes = train.groupBy("outcome").count().collect()
-    if len(classes) != 2:
-        raise ConstraintError("training rows have one class")
-    safe = {c: f"f{i}" for i, c in enumerate(names)}
-    df = train.select("outcome", *[F.col(f"`{c}`").alias(s) for c, s in safe.items()])
-    return Pipeline(stages=[VectorAssembler(inputCols=list(safe.values()), outputCol="features"), classifier(model, sum(r["count"] for r in classes), rules)]).fit(df)
+def encoded(df: DataFrame, fold: int, numeric: list[str], categorical: list[str], medians: dict[str, float], levels: dict[str, list[str]]) -> tuple[DataFrame, list[tuple]]:
+    """(table, columns): values with the training medians and one column for each training level; columns without variance among training rows go.
+
+    Levels that training rows lack have zeros everywhere; a column of nulls is zero. Columns are (name, source, mean, sd, training rows, rows).
+    """
+    cols = [(c, c, F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(medians.get(c) or 0.0)))) for c in numeric]
+    cols += [(f"{c}={v}", c, (F.coalesce(F.col(f"`{c}`"), F.lit(MISSING)) == v).cast("double")) for c in categorical for v in levels[c]]
+    train = F.col("fold") != fold
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(train).alias("t"), F.count_distinct(F.when(train, F.col("outcome"))).alias("classes"), *[x for i, (_, _, c) in enumerate(cols) for x in (F.avg(F.when(train, c)).alias(f"m{i}"), F.stddev_pop(F.when(train, c)).alias(f"s{i}"))]).first()
+    if one["classes"] != 2:
+        raise ConstraintError(f"training rows of fold {fold} have one class")
+    kept = [(name, source, float(one[f"m{i}"]), float(one[f"s{i}"]), c) for i, (name, source, c) in enumerate(cols) if (one[f"s{i}"] or 0.0) > 0]
+    table = df.select("visit_id", "fold", F.col("outcome").cast("int").alias("outcome"), F.array(*[c for *_, c in kept]).alias("x"))
+    return table, [(name, source, m, s, one["t"], one["n"]) for name, source, m, s, _ in kept]
+
 
+# ---------------------------------------------------------------- logistic fits
 
-def predict(model: PipelineModel, rows: DataFrame, names: list[str]) -> DataFrame:
-    safe = [F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(names)]
-    keep = [x for x in ("visit_id", "fold", "row", "step") if x in rows.columns]
-    return model.transform(rows.select(*keep, *safe)).select(*keep, vector_to_array("probability")[1].alias("probability"))
 
+def _cells(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    x = batch.column(column)
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
 
-def each_fit(df: DataFrame, matrices: dict[str, tuple[list[str], list[str]]], folds: list[int], models: tuple[str, ...] | dict[str, str], rules: FitRules, use: Callable) -> list:
-    """What ``use(matrix, fold, model, fitted, train, rows, names)`` returns for each fit, in order of matrix, fold and preparation.
 
-    ``models`` are the models of every matrix, or one model by matrix.
+def logistic(folds: list[Encoded], wanted: dict[tuple[int, str], np.ndarray], most: int = 20) -> dict[tuple[int, str], np.ndarray]:
+    """Intercept and weights of standardised columns of each (fold, matrix): the log loss plus half the square of the weights is least.
+
+    ``wanted`` gives the matrices' columns. All fits share each pass over the tables; a step that raised a fit's loss is halved.
+    """
+    spark = folds[0].table.sparkSession
+    parts = [e.table.filter(F.col("fold") != e.fold).select(F.lit(e.fold).alias("of"), "outcome", "x") for e in folds]
+    rows = reduce(DataFrame.unionByName, parts).persist()
+    scale = {e.fold: (e.mean, e.sd) for e in folds}
+    w = {k: np.zeros(len(c) + 1) for k, c in wanted.items()}
+    before: dict = {k: (np.inf, None) for k in wanted}
+    going = set(wanted)
+    for _ in range(most):
+        now = spark.sparkContext.broadcast(({k: w[k] for k in going}, wanted, scale))
+
+        def sums(batches):
+            w, wanted, scale = now.value
+            total: dict = {}
+            for batch in batches:
+                of = batch.column("of").to_numpy()
+                for fold in np.unique(of):
+                    part = batch.filter(pa.array(of == fold))
+                    mean, sd = scale[fold]
+                    z = np.hstack((np.ones((part.num_rows, 1)), (_cells(part, "x") - mean) / sd))
+                    y = part.column("outcome").to_numpy()
+                    for key in (k for k in w if k[0] == fold):
+                        own = z[:, np.append(0, wanted[key] + 1)]
+                        eta = own @ w[key]
+                        p = T._sigmoid(eta)
+                        got = (float((np.logaddexp(0, eta) - y * eta).sum()), own.T @ (y - p), (own * (p * (1 - p))[:, None]).T @ own)
+                        total[key] = tuple(a + b for a, b in zip(total[key], got)) if key in total else got
+            for (fold, matrix), (loss, g, h) in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([int(fold)], pa.int32()), pa.array([matrix]), pa.array([np.concatenate(([loss], g, h.ravel()))], pa.list_(pa.float64()))], ["of", "matrix", "s"])
+
+        def added(group):
+            s = group.column("s").combine_chunks()
+            total = s.flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1).sum(axis=0)
+            return pa.table({"of": group.column("of").slice(0, 1), "matrix": group.column("matrix").slice(0, 1), "s": pa.array([total], pa.list_(pa.float64()))})
+
+        schema = "of int, matrix string, s array<double>"
+        for r in rows.mapInArrow(sums, schema).groupBy("of", "matrix").applyInArrow(added, schema).collect():  # one row for each fit
+            key = (r["of"], r["matrix"])
+            n, s = len(w[key]), np.array(r["s"])
+            ridge = np.append(0.0, np.ones(n - 1))
+            loss = s[0] + 0.5 * float(ridge @ w[key] ** 2)
+            if loss > before[key][0] * (1 + 1e-12) + 1e-12:
+                w[key] = (w[key] + before[key][1]) / 2
+                continue
+            before[key] = (loss, w[key])
+            step = np.linalg.solve(s[1 + n :].reshape(n, n) + np.diag(ridge), s[1 : 1 + n] - ridge * w[key])
+            w[key] = w[key] + step
+            if np.abs(step).max() < 1e-9:
+                going.discard(key)
+        now.unpersist()
+        if not going:
+            break
+    rows.unpersist()
+    return w
+
+
+def logistic_predictions(folds: list[Encoded], wanted: dict[tuple[int, str], np.ndarray], w: dict[tuple[int, str], np.ndarray]) -> DataFrame:
+    """(visit_id, fold, matrix, model, probability) of each fold's own rows."""
+    shared = folds[0].table.sparkSession.sparkContext.broadcast((w, wanted))
+    out = []
+    for e in folds:
+
+        def run(batches, fold=e.fold, mean=e.mean, sd=e.sd):
+            w, wanted = shared.value
+            for batch in batches:
+                z = (_cells(batch, "x") - mean) / sd
+                for key in (k for k in w if k[0] == fold):
+                    p = T._sigmoid(w[key][0] + z[:, wanted[key]] @ w[key][1:])
+                    n = len(p)
+                    yield pa.RecordBatch.from_arrays([batch.column("visit_id"), pa.array(np.full(n, fold, np.int32)), pa.array([key[1]] * n), pa.array(["logistic"] * n), pa.array(p)], ["visit_id", "fold", "matrix", "model", "probability"])
+
+        out.append(e.table.filter(F.col("fold") == e.fold).select("visit_id", "x").mapInArrow(run, "visit_id long, fold int, matrix string, model string, probability double"))
+    return reduce(DataFrame.unionByName, out)
+
+
+# ---------------------------------------------------------------- tree fits
+
+FITTED = "of int, matrix string, model string, first int, start double, trees binary, gains array<double>, ids array<long>, sums array<double>"
+
+
+def _held(e: Encoded) -> dict:
+    """A fold's bins, outcomes and ids; the caller has checked its size."""
+    t = e.table.select("visit_id", F.col("fold").cast("int").alias("fold"), "outcome", "x").toArrow().combine_chunks().sort_by("visit_id")  # trees depend on the order of rows
+    x = t.column("x").combine_chunks()
+    x = x.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+    train = t.column("fold").to_numpy() != e.fold
+    cuts = [T.edges(x[train, i]) for i in range(x.shape[1])]
+    return {"x": T.binned(x, cuts), "y": t.column("outcome").to_numpy().astype(float), "id": t.column("visit_id").to_numpy(), "train": train, "cuts": cuts}
+
+
+def fit_trees(folds: list[Encoded], fits: list[tuple[int, str, str]], wanted: dict[tuple[int, str], np.ndarray], rules: FitRules) -> DataFrame:
+    """A row (FITTED) for each part of a fit: its trees, their importances by column of the matrix, and sums over trees for the fold's own rows.
+
+    ``fits`` are (fold, matrix, model); a forest is grown in parts of TREES_AT_ONCE trees.
     """
+    spark = folds[0].table.sparkSession
+    if large := [e.fold for e in folds if not e.fits()]:
+        raise ConstraintError(f"tables of folds {large} are beyond IN_MEMORY")
+    held = spark.sparkContext.broadcast({e.fold: _held(e) for e in folds})
+    specs = []
+    for k, matrix, model in fits:
+        firsts = range(0, rules.trees, TREES_AT_ONCE) if model == "random_forest" else (0,)
+        specs += [(k, matrix, model, first) for first in firsts]
+    specs.sort(key=lambda s: -len(wanted[s[0], s[1]]))  # the longest first
+
+    def run(batches):
+        for batch in batches:
+            for k, matrix, model, first in zip(*[c.to_pylist() for c in batch.columns[1:]]):
+                at, own = held.value[k], wanted[k, matrix]
+                x, train = np.ascontiguousarray(at["x"][:, own]), at["train"]
+                start = 0.0
+                if model == "random_forest":
+                    e, gains = T.forest(x[train], at["y"][train], range(first, min(rules.trees, first + TREES_AT_ONCE)), rules.seed)
+                elif model == "gbt":
+                    start, e, gains = T.boosted(x[train], at["y"][train], rules.boost_rounds, 0.1)
+                else:
+                    start, e, gains = T.boosted_leafwise(x[train], at["y"][train], rules.small_step_rounds, 0.03, 31, 0.8, rules.seed)
+                own_rows = x[~train]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([matrix]), pa.array([model]), pa.array([first], pa.int32()), pa.array([start]), pa.array([e.packed()], pa.binary()), pa.array([gains], pa.list_(pa.float64())), pa.array([at["id"][~train]], pa.list_(pa.int64())), pa.array([e.total(own_rows)], pa.list_(pa.float64()))],
+                    [f.split()[0] for f in FITTED.split(", ")],
+                )
+
+    table = spark.createDataFrame([(i, *s) for i, s in enumerate(specs)], "i int, of int, matrix string, model string, first int")
+    return table.repartitionByRange(len(specs), "i").mapInArrow(run, FITTED)
+
+
+def tree_predictions(fitted: DataFrame, rules: FitRules) -> DataFrame:
+    """(visit_id, fold, matrix, model, probability) from the sums of the parts of fits."""
+    each = fitted.select("of", "matrix", "model", "start", F.explode(F.arrays_zip("ids", "sums")).alias("r"))
+    total = each.groupBy(F.col("r.ids").alias("visit_id"), F.col("of").alias("fold"), "matrix", "model").agg(F.max("start").alias("start"), F.sum("r.sums").alias("s"))
+    p = F.when(F.col("model") == "random_forest", F.least(F.lit(1.0), F.col("s") / rules.trees)).otherwise(1 / (1 + F.exp(-(F.col("start") + F.col("s")))))
+    return total.select("visit_id", "fold", "matrix", "model", p.alias("probability"))
+
+
+def importance(names: list[str], values: np.ndarray) -> list[tuple[str, float]]:
+    """(feature, importance), largest first, then by name."""
+    return sorted(((c, float(v)) for c, v in zip(names, values)), key=lambda x: (-x[1], x[0]))
 
-    def fits(at: tuple[str, int]) -> list:
-        (matrix, k), out = at, []
-        own = (models[matrix],) if isinstance(models, dict) else models
-        for scale in sorted({m == "logistic" for m in own}):
-            train, rows, names = prepared(df.filter(F.col("fold") != k), df.filter(F.col("fold") == k), *matrices[matrix], scale)
-            train = train.persist()
-            out += [use(matrix, k, m, fit(train, names, m, rules), train, rows, names) for m in own if (m == "logistic") == scale]
-            train.unpersist()
-        return out
 
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        return [x for xs in pool.map(fits, [(m, k) for m in matrices for k in folds]) for x in xs]
+# ---------------------------------------------------------------- fits of tables beyond IN_MEMORY
 
 
-def out_of_fold(df: DataFrame, matrices: dict[str, tuple[list[str], list[str]]], folds: list[int], models: tuple[str, ...] = MODELS, rules: FitRules = FitRules()) -> DataFrame:
-    """(visit_id, fold, matrix, model, probability): each row predicted by models that have not seen its fold."""
+def classifier(name: str, rules: FitRules):
+    common = {"featuresCol": "features", "labelCol": "outcome"}
+    if name == "random_forest":
+        return RandomForestClassifier(**common, numTrees=rules.trees, maxDepth=T.DEEPEST, seed=rules.seed)
+    if name == "gbt":
+        return GBTClassifier(**common, maxIter=rules.boost_rounds, maxDepth=3, stepSize=0.1, seed=rules.seed)
+    if name == "gbt_small_step":
+        return GBTClassifier(**common, maxIter=rules.small_step_rounds, maxDepth=5, stepSize=0.03, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=rules.seed)
+    raise ValueError(name)
 
-    def use(matrix, k, model, fitted, train, rows, names):
-        p = predict(fitted, rows, names).select("visit_id", "fold", F.lit(matrix).alias("matrix"), F.lit(model).alias("model"), "probability")
-        # a checkpoint lets the model go; its trees would else stay with the driver until the last fit
-        return p.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else p
 
-    return reduce(DataFrame.unionByName, each_fit(df, matrices, folds, models, rules, use))
+def fit_large(e: Encoded, columns: np.ndarray, matrix: str, model: str, rules: FitRules) -> tuple[DataFrame, np.ndarray]:
+    """(predictions, importances) of one fit by Spark ML: rows stay distributed; its trees are cut at Spark's 32 bins."""
+    x = array_to_vector(F.array(*[F.col("x")[int(i)] for i in columns])).alias("features")
+    rows = e.table.select("visit_id", "fold", F.col("outcome").cast("double").alias("outcome"), x)
+    fitted = Pipeline(stages=[classifier(model, rules)]).fit(rows.filter(F.col("fold") != e.fold))
+    out = fitted.transform(rows.filter(F.col("fold") == e.fold))
+    p = out.select("visit_id", F.lit(e.fold).cast("int").alias("fold"), F.lit(matrix).alias("matrix"), F.lit(model).alias("model"), vector_to_array("probability")[1].alias("probability"))
+    return p, fitted.stages[-1].featureImportances.toArray()
 
 
-def importance(model: PipelineModel, names: list[str]) -> list[tuple[str, float]]:
-    """(feature, importance): absolute coefficients or impurity importances, largest first, then by name."""
-    last = model.stages[-1]
-    values = [abs(v) for v in last.coefficients.toArray()] if hasattr(last, "coefficients") else list(last.featureImportances.toArray())
-    return sorted(((c, float(v)) for c, v in zip(names, values)), key=lambda x: (-x[1], x[0]))
+# ---------------------------------------------------------------- attribution
 
 
-def attribution(model: PipelineModel, background: DataFrame, rows: DataFrame, names: list[str], permutations: int = 4, seed: int = 42) -> DataFrame:
-    """(feature, mean_abs): mean absolute contribution of each feature over bounded samples of rows.
+def permutation_contributions(score, background: np.ndarray, rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """(rows, columns): the mean change of the score as columns turn one by one from background rows to a row's own, there and back.
 
-    For each row and permutation, features change one by one from a background row's value to the row's own; a contribution is the
-    change of the probability at its step. Permutations are by hash and come in reversed pairs.
+    Columns turn in ``order``, then in its reverse; a column whose values agree changes nothing and is not scored. Contributions of a
+    row sum to its score less the background's mean.
     """
-    spark = rows.sparkSession
-    n = len(names)
-    orders = []
-    for i in range(permutations // 2):
-        keyed = sorted(range(n), key=lambda j: md5(f"{seed}|{i}|{j}".encode()).hexdigest())
-        orders += [keyed, keyed[::-1]]
-    perm = spark.createDataFrame([(i, j, o.index(j)) for i, o in enumerate(orders) for j in range(n)], "perm int, feature int, place int")
-    places = perm.groupBy("perm").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "place"))), lambda x: x["place"]).alias("places"))
-    b = background.select(F.array(*[F.col(f"`{c}`") for c in names]).alias("bg"))
-    bg = b.agg(*[F.avg(F.col("bg")[i]).alias(f"b{i}") for i in range(n)])
-    r = rows.select("visit_id", F.array(*[F.col(f"`{c}`") for c in names]).alias("own")).crossJoin(F.broadcast(bg)).crossJoin(F.broadcast(places))
-    steps = r.select("visit_id", "perm", "places", "own", *[f"b{i}" for i in range(n)], F.explode(F.sequence(F.lit(0), F.lit(n))).alias("step"))
-    mixed = steps.select(F.concat_ws("|", F.col("visit_id").cast("string"), F.col("perm").cast("string")).alias("row"), "step", *[F.when(F.col("places")[i] < F.col("step"), F.col("own")[i]).otherwise(F.col(f"b{i}")).alias(c) for i, c in enumerate(names)])
-    from pyspark.sql import Window
-
-    p = predict(model, mixed, names).withColumn("d", F.col("probability") - F.lag("probability").over(Window.partitionBy("row").orderBy("step"))).filter("step > 0")
-    by = p.select(F.element_at(F.split("row", r"\|"), -1).cast("int").alias("perm"), (F.col("step") - 1).alias("place"), "d").join(F.broadcast(perm), ["perm", "place"])
-    label = spark.createDataFrame(list(enumerate(names)), "feature int, name string")
-    return by.groupBy("feature").agg(F.avg(F.abs("d")).alias("mean_abs")).join(F.broadcast(label), "feature").select(F.col("name").alias("feature"), "mean_abs")
+    n, columns = rows.shape
+    total = np.zeros((n, columns))
+    for turn in (order, order[::-1]):
+        for i, row in enumerate(rows):
+            differ = background[:, turn] != row[turn]  # background rows by step
+            b, step = np.nonzero(differ)
+            # one row for the start of each background row and one for each step that changes it
+            counts = differ.sum(axis=1)
+            first = np.concatenate(([0], np.cumsum(counts + 1)))[:-1]
+            mixed = np.repeat(background, counts + 1, axis=0)
+            place = np.arange(len(mixed)) - np.repeat(first, counts + 1)
+            rank = np.cumsum(differ, axis=1)  # how many changes a step and those before have made
+            on = (rank[np.repeat(np.arange(len(background)), counts + 1)] <= place[:, None])
+            mixed[:, turn] = np.where(on, row[turn], mixed[:, turn])
+            p = score(mixed)
+            at = np.repeat(first, counts) + rank[b, step]
+            np.add.at(total[i], turn[step], (p[at] - p[at - 1]) / len(background) / 2)
+    return total
 
 
 def sample(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """All rows if there are at most ``n``, else those of least hash of the visit."""
     return df.withColumn("__h", unit_hash(F.concat_ws("|", F.lit(str(seed)), F.col("visit_id").cast("string")))).orderBy("__h", "visit_id").limit(n).drop("__h")

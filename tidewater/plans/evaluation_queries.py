@@ -164,18 +164,21 @@ _BOOT = "pat as (select patient_id, row_number() over (order by patient_id) - 1
 _BC = _BOOT + ", c0 as (select rep, matrix, model, p, sum(weight * outcome) as pos, sum(weight * (1 - outcome)) as neg from scores join w using (patient_id) group by all), c as (select *, sum(pos) over (partition by rep, matrix, model order by p desc) as tp, sum(neg) over (partition by rep, matrix, model order by p desc) as fp, sum(pos) over (partition by rep, matrix, model) as pp, sum(neg) over (partition by rep, matrix, model) as nn from c0), " + _metrics_sql("rep, matrix, model")
 
 
-def _weights(spark, d):
-    slots = numbered(B.gated_base(spark, d).filter("g8").select("patient_id").distinct(), [F.col("patient_id")], "slot").withColumn("slot", F.col("slot") - 1)
-    return E.bootstrap_weights(slots, REPS, 20260727)
+def _slots(spark, d):
+    return numbered(B.gated_base(spark, d).filter("g8").select("patient_id").distinct(), [F.col("patient_id")], "slot").withColumn("slot", F.col("slot") - 1)
+
+
+def _packed(spark, d):
+    return E.packed_weights(_slots(spark, d), REPS, 20260727)
 
 
 def _reps(spark, d, matrices=("x1", "x2")):
-    return E.bootstrap_metrics(B.scores(spark, d, matrices), _weights(spark, d), G)
+    return E.bootstrap_metrics(B.scores(spark, d, matrices), _packed(spark, d), G)
 
 
 @query("bootstrap_weights", "with {scores}, " + _BOOT + " select rep, patient_id, weight from w")
 def _(spark, d):
-    return _weights(spark, d)
+    return E.bootstrap_weights(_slots(spark, d), REPS, 20260727)
 
 
 @query("bootstrap_metrics", "with {scores}, " + _BC + " select " + _rounded("rep, matrix, model, tn, fp, fn, tp", *E.METRICS) + " from m")
@@ -199,9 +202,7 @@ def _(spark, d):
 
 @query("decision_curve_ci", "with {scores}, " + _BOOT + ", sw as (select * from scores join w using (patient_id)), " + _DC.replace("s.{k}", "rep, matrix, model").replace("{k}", "rep, matrix, model").replace("{w}", "weight").replace("{src}", "sw") + " select matrix, model, threshold, round(quantile_cont(model_, 0.025), 6) as low, round(quantile_cont(model_, 0.975), 6) as high, count(*) as valid, 0::bigint as invalid from dc group by all")
 def _(spark, d):
-    rows = B.scores(spark, d).join(_weights(spark, d), "patient_id")
-    by = E.counts(rows, ["rep", *G], F.col("weight"))
-    curve = E.decision_curve(by, ["rep", *G]).filter("strategy = 'model'").withColumnRenamed("net_benefit", "value")
+    curve = E.bootstrap_curves(B.scores(spark, d), _packed(spark, d), G)
     return _round(E.percentile_interval(curve, [*G, "threshold"]), ("threshold",))
 
 
