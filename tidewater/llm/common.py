@@ -134,11 +134,35 @@ def same_key(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, did, th, dk, j): whole rows with their keys; ``j`` numbers rows that repeat id and text from 1."""
+    """(row, th, dk, before, n): whole rows with their keys; a row stands for ``n`` equal ones, the numbers before + 1 to before + n of those that repeat id and text.
+
+    Equal rows of a batch become one before they are shuffled, so a row that repeats without end does not meet itself in one task.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("did"), F.xxhash64(F.lit(7), F.col(id_col), text).alias("th"))
-    own = own.withColumn("dk", F.coalesce("did", F.lit(NO_ID)))
-    return own.withColumn("j", F.row_number().over(Window.partitionBy("th", "dk").orderBy("th")))
+    flat = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.lit(7), F.col(id_col), text).alias("th"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("dk"), F.xxhash64(F.lit(11), *flat).alias("rh"))
+
+    def combine(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                keys = np.stack([batch.column(i).to_numpy() for i in (1, 2, 3)], axis=1)
+                _, first, n = np.unique(keys, axis=0, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(first)).columns, pa.array(n, pa.int64())], ["row", "th", "dk", "rh", "n"])
+
+    kind = own.schema["row"].dataType.simpleString()
+    if "map<" not in kind:  # rows with maps could differ in them alone
+        own = own.mapInArrow(combine, own.withColumn("n", F.lit(1).cast("long")).schema)
+    else:
+        own = own.withColumn("n", F.lit(1).cast("long"))
+    over = Window.partitionBy("th", "dk").orderBy("rh").rowsBetween(Window.unboundedPreceding, -1)
+    return own.withColumn("before", F.coalesce(F.sum("n").over(over), F.lit(0))).select("row", "th", "dk", "before", "n")
+
+
+def repeated(rows: DataFrame, times) -> DataFrame:
+    """The ``row`` of each row as often as ``times`` says."""
+    return rows.select("row", times.cast("int").alias("__t")).filter("__t > 0").select("row", F.explode(F.expr("sequence(1, __t)")).alias("__i")).select("row.*")
 
 
 def ranked(df: DataFrame, groups: list[str], order: list, part: str, rank: str = "rank") -> DataFrame:

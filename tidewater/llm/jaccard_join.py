@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import NO_ID, blocks_of, encoded, keyed, mix, ngram_hashes, numbered, pieces, same_key, temporary, word_hashes, written
+from tidewater.llm.common import NO_ID, blocks_of, encoded, keyed, mix, ngram_hashes, numbered, pieces, repeated, same_key, temporary, word_hashes, written
 from tidewater.llm.components import components
 
 WORDS = 5
@@ -466,4 +466,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = groups.filter("component is not null").groupBy("component").agg(F.min("order").alias("order"))
     keep = first.select(F.col("order.th").alias("th"), F.coalesce("order.did", F.lit(NO_ID)).alias("dk"), F.lit(1).alias("most"))
     keep = keep.unionByName(groups.filter("component is null").select("th", "dk", F.lit((1 << 31) - 1).alias("most")))
-    return numbered(docs, id_col, text_col).join(keep, ["th", "dk"]).filter("j <= most").select("row.*")
+    own = numbered(docs, id_col, text_col).join(keep, ["th", "dk"])
+    return repeated(own, F.least("n", F.col("most") - F.col("before")))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import NO_ID, WORD, numbered, ranked, written
+from tidewater.llm.common import NO_ID, WORD, numbered, ranked, repeated, written
 from tidewater.operators.numbering import numbered as numbered_by
 
 #: Words of taken documents that go back to the dynamic program, so that it can swap them; its bit sets have as many bits, and as many
@@ -144,8 +144,10 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     Of rows that repeat id and text, as many are taken as the mix takes. Null and empty texts stay only with whole passes.
     """
     dk = F.coalesce("did", F.lit(NO_ID))
-    took = mix(docs, **how).select("th", dk.alias("dk"), "copies")
-    took = took.withColumn("j", F.row_number().over(Window.partitionBy("th", "dk").orderBy(F.desc("copies")))).filter("copies > 0")
+    # how many of the rows that repeat are taken how often: a few counts for each id and text, and the numbers that they cover
+    took = mix(docs, **how).filter("copies > 0").groupBy("th", dk.alias("dk"), "copies").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("th", "dk").orderBy(F.desc("copies")))
+    took = took.select("th", "dk", "copies", upto.alias("last"), (upto - F.col("n")).alias("first"))
     own = numbered(docs, how.get("id_col", "doc_id"), how.get("text_col", "text"))
-    both = own.join(took.withColumnRenamed("j", "i"), ["th", "dk"]).filter("i = j")
-    return both.select("row", F.explode(F.expr("sequence(1, copies)")).alias("copy")).select("row.*")
+    both = own.join(took, ["th", "dk"])
+    return repeated(both, (F.least("last", F.col("before") + F.col("n")) - F.greatest("first", "before")) * F.col("copies"))

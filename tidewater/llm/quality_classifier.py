@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import blocks_of, encoded, mix, pieces, word_hashes
+from tidewater.llm.common import blocks_of, encoded, mix, pieces, temporary, word_hashes, written
 
 BITS = 18
 #: The most labelled rows that the model is fitted to; those of least hash are taken.
 MOST_ROWS = 12_000
+#: The most n-gram numbers of all those rows together, four bytes each; rows of larger hash that would exceed it are left out.
+MOST_NUMBERS = 1 << 25
 EPOCHS, PENALTY, SMOOTH = 12, 1.0, 1.0
 
 _LAST = np.zeros(256, np.uint64)
@@ -156,10 +158,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col:
     """Fits to at most ``most_rows`` labelled ids that are not held out; labels (doc_id, quality) other than 0 and 1 are left out.
 
     Of an id with several labels the larger counts, of one with several texts the least text; null texts are empty. Ids of least hash
-    are taken, so ties do not matter. Without labels or documents the model gives one half. The driver holds those rows' n-gram numbers,
-    some kilobytes each.
+    that have a document are taken, so ties do not matter. Without labels or documents the model gives one half. The driver holds those
+    rows' n-gram numbers, MOST_NUMBERS of them at most.
     """
     known = labels.filter("quality in (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = known.join(docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     chosen = known.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(most_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), "doc_id")
     rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
@@ -169,7 +172,17 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col:
             found = features(encoded(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())], ["doc_id", "quality", "x"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, quality int, x binary").collect(), key=lambda r: r["doc_id"])
+    with temporary():
+        counted = written(rows.mapInArrow(run, "doc_id long, quality int, x binary"), "labelled-grams")
+        sizes = counted.select("doc_id", F.octet_length("x").alias("n")).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").collect()  # at most ``most_rows``
+        take, total = [], 0
+        for r in sizes:
+            total += r["n"] // 4
+            if total > MOST_NUMBERS and take:
+                break
+            take.append((r["doc_id"],))
+        few = counted.sparkSession.createDataFrame(take, "doc_id long")
+        got = sorted(counted.join(F.broadcast(few), "doc_id").collect(), key=lambda r: r["doc_id"])
     return train([np.frombuffer(bytes(r["x"]), "<u4").astype(np.int64) for r in got], np.array([r["quality"] for r in got]))
 
 

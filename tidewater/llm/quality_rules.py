@@ -62,7 +62,7 @@ def rule_steps(text: str, base: tuple[int, int, int, int, int]) -> list[int]:
     n, chars, symbols, dup, repeat = base
     if not n:
         return [STEPS] * len(RULES)
-    words = text.split()
+    words = _words(text)
     lines = text.count("\n") + 1
     bang = sum(w.endswith("!!") for w in words)
     upper = sum(map(str.isupper, words))
@@ -95,15 +95,34 @@ def failed_base(df: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def binomial_below(k: int, n: int, p: float) -> float:
+    """The chance of k or fewer of n at rate p. Terms are added from the largest down until they no longer count, so some
+    multiples of the standard deviation, not k terms, are summed."""
+    top = min(k, int((n + 1) * p))
+    log = math.lgamma(n + 1) - math.lgamma(top + 1) - math.lgamma(n - top + 1) + top * math.log(p) + (n - top) * math.log1p(-p)
+    first = math.exp(log)
+    if first == 0.0:
+        return 0.0
+    odds, total, term = p / (1 - p), first, first
+    for i in range(top + 1, k + 1):
+        term *= (n - i + 1) / i * odds
+        total += term
+        if term < total * 1e-18:
+            break
+    term = first
+    for i in range(top, 0, -1):
+        term *= i / (n - i + 1) / odds
+        total += term
+        if term < total * 1e-18:
+            break
+    return min(1.0, total)
+
+
 def upper_bound(k: int, n: int, level: float) -> float:
     """Clopper-Pearson upper bound of a rate after k of n, by bisection of the binomial distribution function."""
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
-
-    def below(p: float) -> float:
-        return math.fsum(math.exp(c + i * math.log(p) + (n - i) * math.log1p(-p)) for i, c in enumerate(logs))
-
+    below = lambda p: binomial_below(k, n, p)
     low, high = 0.0, 1.0
     for _ in range(60):
         mid = (low + high) / 2
@@ -118,7 +137,7 @@ def pools(good: dict[int, int], alpha: float = ALPHA, delta: float = DELTA) -> d
 
     def enough(g: list[int]) -> bool:
         n = sum(good[s] for s in g)
-        return n > 0 and upper_bound(0, n, delta / len(groups)) <= alpha
+        return n > 0 and binomial_below(0, n, alpha) <= delta / len(groups)
 
     while len(groups) > 1 and (short := [i for i, g in enumerate(groups) if not enough(g)]):
         i = min(short, key=lambda j: (sum(good[s] for s in groups[j]), j))
@@ -151,7 +170,7 @@ def passed(good: np.ndarray, alpha: float, risk: float) -> int:
     """The last level of the sequence that passes, -1 if none does. ``good``: holdout texts by level, the last those that no level rejects."""
     n, best = int(good.sum()), -1
     for level, k in enumerate(np.cumsum(good[:-1]).tolist()):
-        if not n or k > alpha * n or upper_bound(k, n, risk) > alpha:
+        if not n or k > alpha * n or binomial_below(k, n, alpha) > risk:  # that is, the upper bound is above alpha
             break
         best = level
     return best

@@ -39,7 +39,9 @@ BASE = (
 MORE = (
     Rule("github", r"gh[oprsu]_[A-Za-z0-9]+", least=40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9\-]+", least=20),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----([A-Za-z0-9+/=:,.\x09\x0A\x0D\x20]|-[A-Za-z0-9+/=:,.])*-----END [A-Z ]*PRIVATE KEY-----"),
+    Rule("key_begin", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),  # a key that is cut off has this line alone
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", least=24),
 )
 RULES = BASE + MORE
 
