@@ -83,10 +83,10 @@ def enforce(df: DataFrame, constraints: dict[str, Column], evidence: str | None
 
 
 def join_checked(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", kind: str = "many_to_one") -> DataFrame:
-    require_unique(right, keys)
+    """A join whose query fails where the right side, or either if ``kind`` is one_to_one, repeats a key; it takes no pass of its own."""
     if kind == "one_to_one":
-        require_unique(left, keys)
-    return left.join(right, keys, how)
+        left = sole(left, keys)
+    return left.join(sole(right, keys), keys, how)
 
 
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,11 +116,16 @@ def partition_digests(df: DataFrame, groups: list[str], columns: list[str]) -> D
     return _summed(df, row, groups)
 
 
-def require_equal_digests(have: DataFrame, want: DataFrame, keys: list[str]) -> DataFrame:
-    """The digests of both; the query fails where one is missing or differs."""
+def require_equal_digests(have: DataFrame, want: DataFrame, keys: list[str], evidence: str | None = None) -> DataFrame:
+    """The digests of both; the query fails where one is missing or differs. With ``evidence`` the comparison is written there before it is judged."""
     other = want.select(*keys, F.col("row_count").alias("wanted_rows"), F.col("digest").alias("wanted_digest"))
     both = have.join(other, keys, "full_outer")
-    return checked(both, {"a partition is not what was frozen": (F.col("row_count") == F.col("wanted_rows")) & (F.col("digest") == F.col("wanted_digest"))}).select(*keys, "row_count", "digest")
+    good = (F.col("row_count") == F.col("wanted_rows")) & (F.col("digest") == F.col("wanted_digest"))
+    if evidence:
+        from tidewater.operators.verify import with_evidence
+
+        return with_evidence(both, good, "a partition is not what was frozen", evidence).select(*keys, "row_count", "digest")
+    return checked(both, {"a partition is not what was frozen": good}).select(*keys, "row_count", "digest")
 
 
 def digest(df: DataFrame, columns: list[str] | None = None, schema: bool = True) -> DataFrame:
@@ -249,10 +254,57 @@ def small_cells(df: DataFrame, count_columns: list[str], threshold: int, keys: l
     return df.select(*keys, F.explode(F.array(*cells)).alias("x")).select(*keys, "x.*").filter((F.col("n") > 0) & (F.col("n") < threshold))
 
 
-def identifier_columns(df: DataFrame, allowed: list[str], tokens: tuple[str, ...] = ("patient", "visit", "subject", "hadm", "person", "date", "time", "key")) -> list[str]:
-    """Columns that a published table may not have: not on its list, like an identifier, or of a time."""
+#: Words for one person or stay, what may follow them in an identifier's name, ends of names of times, and names of row-level values.
+ENTITIES = ("patient", "person", "subject", "visit", "admission", "encounter", "member", "case", "record")
+ENTITY_ENDS = ("id", "identifier", "number", "key")
+TIMES = ("date", "datetime", "timestamp", "timepoint")
+ROW_VALUES = ("probability", "prediction", "oof_probability", "shap_value", "feature_value", "raw_value", "fold_assignment")
+
+
+def unpublishable(name: str) -> bool:
+    """Whether a column's name is that of an identifier, a time or a value of one row. Whole parts of names count: visits and monkey are fine."""
+    name = name.lower()
+    parts = name.split("_")
+    if name in ROW_VALUES or name.endswith(TIMES) or parts[-1] == "mrn" or parts[-2:] == ["hadm", "id"]:
+        return True
+    return parts[-1] in ENTITIES or (len(parts) > 1 and parts[-1] in ENTITY_ENDS and parts[-2] in ENTITIES)
+
+
+def identifier_columns(df: DataFrame, allowed: list[str]) -> list[str]:
+    """Columns that a published table may not have: not on its list, named like an identifier, time or row value, or of a time's type."""
     kinds = dict(df.dtypes)
-    return [c for c in df.columns if c not in allowed or any(t in c.lower() for t in tokens) or kinds[c].startswith(("date", "timestamp"))]
+    return [c for c in df.columns if c not in allowed or unpublishable(c) or kinds[c].startswith(("date", "timestamp"))]
+
+
+def publication_findings(tables: dict[str, DataFrame], rules: dict[str, tuple[tuple[str, ...], tuple[str, ...]]], threshold: int) -> DataFrame:
+    """(table, column, finding, rows) of a set of tables under ``rules``: (exact columns, count columns) by table.
+
+    Findings are unknown_table, missing_column, unknown_column, not_publishable and small_cell (counts above 0 and below the
+    threshold). Schemas are judged without reading rows; all counts of all tables are judged in one pass over their union.
+    """
+    found, counts = [], None
+    for table, df in tables.items():
+        if table not in rules:
+            found.append((table, "*", "unknown_table", None))
+            continue
+        columns, cells = rules[table]
+        found += [(table, c, "missing_column", None) for c in columns if c not in df.columns]
+        found += [(table, c, "unknown_column", None) for c in df.columns if c not in columns]
+        found += [(table, c, "not_publishable", None) for c in identifier_columns(df, df.columns)]
+        have = [c for c in cells if c in df.columns]
+        if have:
+            small = df.agg(*[F.count_if((F.col(f"`{c}`") > 0) & (F.col(f"`{c}`") < threshold)).alias(f"c{i}") for i, c in enumerate(have)])
+            small = small.select(F.explode(F.array(*[F.struct(F.lit(table).alias("table"), F.lit(c).alias("column"), F.lit("small_cell").alias("finding"), F.col(f"c{i}").cast("long").alias("rows")) for i, c in enumerate(have)])).alias("x")).select("x.*")
+            counts = small if counts is None else counts.unionByName(small)
+    spark = next(iter(tables.values())).sparkSession
+    out = spark.createDataFrame(found, "table string, column string, finding string, rows long")
+    return out if counts is None else out.unionByName(counts.filter("rows > 0"))
+
+
+def require_publishable(tables: dict[str, DataFrame], rules: dict[str, tuple[tuple[str, ...], tuple[str, ...]]], threshold: int) -> None:
+    """An error that names the findings, if there are any; values are not shown."""
+    if bad := publication_findings(tables, rules, threshold).orderBy("table", "column", "finding").collect():  # as many rows as columns
+        raise ConstraintError("; ".join(f"{r['table']}.{r['column']}: {r['finding']}" for r in bad))
 
 
 def union(frames: list[DataFrame]) -> DataFrame:

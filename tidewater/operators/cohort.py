@@ -11,6 +11,7 @@ from tidewater.functions.normalise import canonical_float
 from tidewater.operators.audit import checked, sole
 from tidewater.operators.numbering import numbered
 from tidewater.operators.ranges import range_cells
+from tidewater.operators.verify import with_evidence
 
 
 @dataclass(frozen=True)
@@ -143,9 +144,15 @@ def count_comparison(observed: DataFrame, expected: DataFrame, keys: list[str])
     return both.select(*keys, "expected", "observed", diff.alias("absolute_difference"), "tolerance", F.coalesce(diff <= F.col("tolerance"), F.lit(False)).alias("matches"))
 
 
-def require_counts(observed: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
-    """The comparison of counts; its query fails at the first that is missing or off by more than its tolerance."""
-    return checked(count_comparison(observed, expected, keys), {"a count is not what is expected": F.col("matches")})
+def require_counts(observed: DataFrame, expected: DataFrame, keys: list[str], evidence: str | None = None) -> DataFrame:
+    """The comparison of counts; its query fails at the first that is missing or off by more than its tolerance.
+
+    With ``evidence`` the whole comparison is written there first, so that it can be read after a failure.
+    """
+    both = count_comparison(observed, expected, keys)
+    if evidence:
+        return with_evidence(both, F.col("matches"), "a count is not what is expected", evidence)
+    return checked(both, {"a count is not what is expected": F.col("matches")})
 
 
 def override(df: DataFrame, names: dict[str, str]) -> DataFrame:

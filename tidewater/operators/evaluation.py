@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.normalise import unit_hash
 from tidewater.operators.audit import checked
 from tidewater.operators.numbering import piece, place_within, running
+from tidewater.operators.verify import with_evidence
 from tidewater.sources.shared import frozen
 
 
@@ -390,11 +391,19 @@ def aligned(scores: DataFrame, identity: DataFrame) -> DataFrame:
     return checked(rows, {"a visit lacks a probability": F.col("p").isNotNull(), "a probability is of another fold": F.col("fold") == F.col("scored_fold")}).drop("scored_fold")
 
 
-def require_run(scores: DataFrame, folds: int = 5, matrices: int = 8, models: int = 4) -> DataFrame:
-    """One row of (folds, matrices, models, fits, least and most probabilities of a visit); an error if they are not what a run must have."""
+def require_run(scores: DataFrame, folds: int = 5, matrices: int = 8, models: int = 4, evidence: str | None = None) -> DataFrame:
+    """One row of (folds, matrices, models, fits, least and most probabilities of a visit); an error if they are not what a run must have.
+
+    With ``evidence`` the row is written there before it is judged.
+    """
     per = scores.groupBy("n").agg(F.count(F.lit(1)).alias("c")).agg(F.min("c").alias("least"), F.max("c").alias("most"))
     seen = scores.select("fold", "matrix", "model").distinct().agg(F.count_distinct("fold").alias("folds"), F.count_distinct("matrix").alias("matrices"), F.count_distinct("model").alias("models"), F.count(F.lit(1)).alias("fits")).crossJoin(F.broadcast(per))
     want = {"folds": folds, "matrices": matrices, "models": models, "fits": folds * matrices * models, "least": matrices * models, "most": matrices * models}
+    if evidence:
+        good = F.lit(True)
+        for k, v in want.items():
+            good = good & (F.col(k) == v)
+        return with_evidence(seen, good, f"a run is not {want}", evidence)
     return checked(seen, {f"{k} is not {v}": F.col(k) == v for k, v in want.items()})
 
 

@@ -81,7 +81,7 @@ def domain_cells(events: DataFrame, domain: str) -> DataFrame:
 
     ``place`` is a statistic's place within its concept; aggregates follow all concepts.
     """
-    per = events.groupBy("visit_id", "fold", "concept_key").agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"), F.coalesce(F.stddev_samp("value"), F.when(F.count("value") > 0, 0.0)).alias("sd"), F.count("value" if domain == "measurements" else F.lit(1)).alias("count"), F.count(F.lit(1)).alias("n"), F.min("hours_from_start").alias("first_hours"))
+    per = events.groupBy("visit_id", "fold", "concept_key").agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), F.count("value" if domain == "measurements" else F.lit(1)).alias("count"), F.count(F.lit(1)).alias("n"), F.min("hours_from_start").alias("first_hours"))
     per = per.withColumn("missing", (F.col("count") == 0).cast("int")).withColumn("exposure", F.lit(1))
     stats = F.explode(F.array(*[F.struct(F.concat("concept_key", F.lit(f"__{s}")).alias("feature"), F.lit(i).alias("place"), canonical_float(F.col(s).cast("double")).alias("value")) for i, s in enumerate(STATISTICS[domain])]))
     cells = per.select("visit_id", "fold", "concept_key", stats.alias("x")).select("visit_id", "fold", "concept_key", "x.*")
@@ -127,10 +127,14 @@ def eligibility(long: DataFrame, least: int) -> DataFrame:
 
 
 def mutual_information(long: DataFrame) -> DataFrame:
-    """(feature, mi) of discrete values and the 0/1 outcome, in nats, from one contingency table."""
-    cell = long.groupBy("feature", "value", "outcome").agg(F.count(F.lit(1)).alias("n"))
-    f, v, y = Window.partitionBy("feature"), Window.partitionBy("feature", "value"), Window.partitionBy("feature", "outcome")
-    p = cell.select("feature", "n", F.sum("n").over(f).alias("t"), F.sum("n").over(v).alias("a"), F.sum("n").over(y).alias("b"))
+    """(feature, mi) of discrete values and the 0/1 outcome, in nats, from one contingency table.
+
+    A value's outcomes meet in one row; a feature's values are never in one task: its totals are sums, sent to its rows as two small tables.
+    """
+    pairs = long.groupBy("feature", "value").agg(F.count_if(F.col("outcome") == 1).alias("n1"), F.count_if(F.col("outcome") == 0).alias("n0"))
+    both = pairs.groupBy("feature").agg(F.sum("n1").alias("b1"), F.sum("n0").alias("b0"))  # as many rows as features
+    cell = pairs.join(F.broadcast(both), "feature").select("feature", (F.col("n1") + F.col("n0")).alias("a"), (F.col("b1") + F.col("b0")).alias("t"), F.explode(F.array(F.struct(F.col("n1").alias("n"), F.col("b1").alias("b")), F.struct(F.col("n0").alias("n"), F.col("b0").alias("b")))).alias("x"))
+    p = cell.select("feature", "a", "t", "x.*").filter("n > 0")
     return p.groupBy("feature").agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("a") * F.col("b")))).alias("mi"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,10 +12,11 @@ from tidewater.operators import audit as A
 from tidewater.operators import cohort as C
 from tidewater.operators import features as X
 from tidewater.operators import linkage as L
+from tidewater.operators import verify as V
 from tidewater.operators.numbering import numbered
 from tidewater.plans import bindings as B
 from tidewater.plans.bindings import EVENTS_SQL, query
-from tidewater.sources.shared import frozen
+from tidewater.sources.shared import frozen, shared_dir
 
 # ------------------------------------------------------------------ linkage
 
@@ -484,6 +487,16 @@ def _(spark, d):
     return A.sensitive_scan(B._t(spark, d, "documents", "text"), ["text"])
 
 
+@query("verify_features", _LINK + " select linked_visit as visit_id, concept_key, 'n' as \"column\", 'value' as kind from q where linked_visit % 5 = 0 group by all union all select linked_visit, concept_key, '*', 'only_right' from q where linked_visit % 7 = 0 and linked_visit % 5 != 0 group by all")
+def _(spark, d):
+    """Features are frozen with planted faults (a count changed, rows left out), made again and compared by ranges of their keys."""
+    made = _qualified(spark, d).groupBy("visit_id", "concept_key").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    faulty = made.filter("visit_id % 7 != 0 or visit_id % 5 = 0").withColumn("n", F.when(F.col("visit_id") % 5 == 0, F.col("n") + 1).otherwise(F.col("n")))
+    path = f"{shared_dir(spark)}/frozen-{uuid.uuid4().hex}"
+    V.freeze(faulty, ["visit_id", "concept_key"], path)
+    return V.verify(made, ["visit_id", "concept_key"], path)
+
+
 @query("small_cells", "select p_brand, p_type, 'n' as \"column\", count(*) as n from part group by p_brand, p_type having count(*) between 1 and 10")
 def _(spark, d):
     cells = B._t(spark, d, "part", "p_brand", "p_type").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
