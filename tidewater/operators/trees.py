@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-BINS = 64
+BINS = 32
 #: Depth beyond which no tree is split.
 DEEPEST = 30
 
@@ -87,7 +87,7 @@ class _Nodes:
 def forest_tree(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> tuple[tuple, np.ndarray]:
     """(tree, importances): Gini splits among the square root of the columns, drawn for each node, until nodes are pure.
 
-    A node that none of its drawn columns splits tries all of them. Leaves hold the weighted share of positives.
+    A node that none of its drawn columns splits draws again among the others. Leaves hold the weighted share of positives.
     """
     columns = x.shape[1]
     few = max(1, int(np.sqrt(columns)))
@@ -97,39 +97,45 @@ def forest_tree(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random
     node, w, wy = np.zeros(len(rows), np.int64), weight[rows].astype(float), (weight * y)[rows].astype(float)
     names = np.zeros(1, np.int64)  # numbers in the tree of the nodes of this level
     for depth in range(DEEPEST + 1):
-        a = len(names)
-        n, p = np.bincount(node, w, a), np.bincount(node, wy, a)
-        for i, k in enumerate(names):
-            tree.value[k] = p[i] / n[i]
+        n, p = np.bincount(node, w, len(names)), np.bincount(node, wy, len(names))
+        for k, v in zip(names.tolist(), (p / n).tolist()):
+            tree.value[k] = v
         open_ = (p > 0) & (p < n)
         if depth == DEEPEST or not open_.any():
             break
-        drawn = np.argpartition(rng.random((a, columns)), few - 1, axis=1)[:, :few]
-        best, column, cut = _best_gini(x, rows, node, w, wy, n, p, drawn)
-        stuck = np.flatnonzero(open_ & (best <= 1e-12))
-        if len(stuck) and few < columns:
-            which = np.full(a, -1)
-            which[stuck] = np.arange(len(stuck))
-            own = which[node] >= 0
-            b2, c2, t2 = _best_gini(x, rows[own], which[node[own]], w[own], wy[own], n[stuck], p[stuck], np.repeat(np.arange(columns)[None, :], len(stuck), axis=0))
-            best[stuck], column[stuck], cut[stuck] = b2, c2, t2
-        going = open_ & (best > 1e-12)
+        rows, node, w, wy = _among(open_, rows, node, w, wy)
+        names, n, p = names[open_], n[open_], p[open_]
+        a = len(names)
+        order = np.argsort(rng.random((a, columns)), axis=1)
+        best, column, cut = _best_gini(x, rows, node, w, wy, n, p, order[:, :few])
+        for first in range(few, columns, few):
+            stuck = best <= 1e-12
+            if not stuck.any():
+                break
+            best[stuck], column[stuck], cut[stuck] = _best_gini(x, *_among(stuck, rows, node, w, wy), n[stuck], p[stuck], order[stuck, first : first + few])
+        going = best > 1e-12
         if not going.any():
             break
-        first = np.full(a, -1)
+        np.add.at(gain_of, column[going], best[going])
         fresh = []
-        for i in np.flatnonzero(going):
-            gain_of[column[i]] += best[i]
-            first[i] = len(fresh)
-            left = tree.split(int(names[i]), int(column[i]), int(cut[i]))
+        for k, c, t in zip(names[going].tolist(), column[going].tolist(), cut[going].tolist()):
+            left = tree.split(k, c, t)
             fresh += [left, left + 1]
+        first_child = 2 * (np.cumsum(going) - 1)
         stay = going[node]
         rows, node, w, wy = rows[stay], node[stay], w[stay], wy[stay]
-        node = first[node] + (x[rows, column[node]] > cut[node])
+        node = first_child[node] + (x[rows, column[node]] > cut[node])
         names = np.array(fresh)
     return tree.done(), gain_of / gain_of.sum() if gain_of.sum() else gain_of
 
 
+def _among(chosen: np.ndarray, rows, node, w, wy) -> tuple:
+    """The rows of the chosen nodes, which are numbered anew."""
+    number = np.cumsum(chosen) - 1
+    own = chosen[node]
+    return rows[own], number[node[own]], w[own], wy[own]
+
+
 def _best_gini(x, rows, node, w, wy, n, p, drawn) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, few = drawn.shape
     key = ((node[:, None] * few + np.arange(few)) * BINS + x[rows[:, None], drawn[node]]).ravel()
