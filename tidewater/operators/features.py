@@ -193,6 +193,27 @@ def information_ranking(long: DataFrame, keep: int = 21, bins: int = 10) -> Data
     return top_per(mi.withColumn("__s", F.round("mi", 10)), ["fold"], [F.desc("__s"), F.col("feature")], keep).drop("__s")
 
 
+def training_statistics(rows: DataFrame, numeric: list[str], categorical: list[str], missing: str = "__MISSING__") -> DataFrame:
+    """(fold, column, level, statistic, value): what encoding needs of the rows outside each fold of (visit_id, fold, columns).
+
+    Medians, means and population deviations of the numbers that are known, and the share of each level, nulls being one. Sums and
+    counts are made once for each fold and a fold's own are taken off.
+    """
+    numbers = rows.select("fold", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in numeric])).alias("x")).select("fold", "x.*")
+    med = training_medians(*_by_value(numbers)).select(F.col("fold").cast("long").alias("fold"), F.col("feature").alias("column"), F.lit("").alias("level"), F.lit("median").alias("statistic"), F.col("med").alias("value"))
+    per = numbers.filter("value is not null").groupBy("fold", "feature").agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    whole = per.groupBy("feature").agg(*[F.sum(c).alias(f"a{c}") for c in "nsq"])
+    left = rows.select("fold").distinct().crossJoin(F.broadcast(whole)).join(per, ["fold", "feature"], "left")
+    n, s, q = (F.col(f"a{c}") - F.coalesce(c, F.lit(0)) for c in "nsq")
+    both = F.array(F.struct(F.lit("mean").alias("statistic"), (s / n).alias("value")), F.struct(F.lit("deviation").alias("statistic"), F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))).alias("value")))
+    moments = left.filter(n > 0).select(F.col("fold").cast("long").alias("fold"), F.col("feature").alias("column"), F.lit("").alias("level"), F.explode(both).alias("x")).select("fold", "column", "level", "x.*")
+    levels = rows.select("visit_id", "fold", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit(missing)).alias("level")) for c in categorical])).alias("x")).select("visit_id", "fold", "x.*")
+    held = training_counts(levels, ["column", "level"], "n")
+    total = held.groupBy("fold", "column").agg(F.sum("n").alias("all"))
+    shares = held.join(total, ["fold", "column"]).select(F.col("fold").cast("long").alias("fold"), "column", "level", F.lit("share").alias("statistic"), (F.col("n") / F.col("all")).alias("value"))
+    return med.unionByName(moments).unionByName(shares)
+
+
 # ------------------------------------------------------------------ units, ranks and gates
 
 

@@ -487,6 +487,20 @@ def _(spark, d):
     return A.sensitive_scan(B._t(spark, d, "documents", "text"), ["text"])
 
 
+_PBF = """with {cohort}, b as (select visit_id, age, sex, visit_type, cast(('0x' || substr(md5('42|' || patient_id), 1, 8)) as bigint) % 5 + 1 as fold from cohort), f as (select unnest(range(1, 6)) as k),
+t as (select k, b.* from f join b on b.fold != k)
+select k as fold, 'age' as "column", '' as level, 'median' as statistic, round(median(age), 6) as value from t group by k
+union all select k, 'age', '', 'mean', round(avg(age), 6) from t group by k union all select k, 'age', '', 'deviation', round(stddev_pop(age), 6) from t group by k
+union all select k, 'sex', coalesce(sex, '__MISSING__'), 'share', round(count(*) / sum(count(*)) over (partition by k), 6) from t group by k, sex
+union all select k, 'visit_type', coalesce(visit_type, '__MISSING__'), 'share', round(count(*) / sum(count(*)) over (partition by k), 6) from t group by k, visit_type"""
+
+
+@query("preprocessing_by_fold", _PBF)
+def _(spark, d):
+    rows = _cohort(spark, d).select("visit_id", "age", "sex", "visit_type", B.fold_of(F.col("patient_id")).alias("fold"))
+    return X.training_statistics(rows, ["age"], ["sex", "visit_type"]).withColumn("value", F.round("value", 6))
+
+
 @query("verify_features", _LINK + " select linked_visit as visit_id, concept_key, 'n' as \"column\", 'value' as kind from q where linked_visit % 5 = 0 group by all union all select linked_visit, concept_key, '*', 'only_right' from q where linked_visit % 7 = 0 and linked_visit % 5 != 0 group by all")
 def _(spark, d):
     """Features are frozen with planted faults (a count changed, rows left out), made again and compared by ranges of their keys."""

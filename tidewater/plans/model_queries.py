@@ -184,6 +184,24 @@ def _(spark, d):
     return run(spark, d).all_predictions()
 
 
+def _as_scores(r: Run) -> DataFrame:
+    return r.all_predictions().select(F.col("visit_id").alias("n"), "fold", "matrix", "model", F.col("probability").alias("p"))
+
+
+@query("model_run_gate")
+def _(spark, d):
+    """The query fails unless the stored predictions are of five folds, eight matrices, four models, 160 fits and 32 probabilities a visit."""
+    return E.require_run(_as_scores(run(spark, d)), len(FOLDS), len(MATRICES), len(MODELS))
+
+
+@query("model_coverage")
+def _(spark, d):
+    """(check, failures) of the stored predictions against the cohort: repeats, visits without a row, other folds, probabilities out of bounds."""
+    r = run(spark, d)
+    own = _cohort(spark, d).select(F.col("visit_id").alias("n"), B.fold_of(F.col("patient_id")).cast("int").alias("fold"))
+    return E.oof_coverage(_as_scores(r), own)
+
+
 @query("feature_importance")
 def _(spark, d):
     r = run(spark, d)
