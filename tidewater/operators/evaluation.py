@@ -200,18 +200,24 @@ def packed_weights(patients: DataFrame, replicates: int, seed: int) -> DataFrame
     """(patient_id, w): the weights of ``bootstrap_weights`` as one array for each patient, two bytes a replicate."""
     n = patients.agg(F.count(F.lit(1)).alias("n"))
     draws = patients.select("slot").crossJoin(F.broadcast(n)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = draws.select(F.col("rep").cast("short").alias("rep"), _pick(seed)).groupBy("slot").agg(F.collect_list("rep").alias("reps"))
+    # a task gets some thousands of patients, and of each about as many draws as there are replicates
+    parts = max(int(patients.sparkSession.conf.get("spark.sql.shuffle.partitions")), n.first()["n"] * replicates // PACKED + 1)
+    drawn = draws.select(_pick(seed), F.col("rep").cast("short").alias("rep")).repartition(parts, "slot")
 
     def pack(batches):
-        for batch in batches:
-            of = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("reps").offsets.to_numpy()))
-            w = np.bincount(of * replicates + batch.column("reps").flatten().to_numpy() - 1, minlength=batch.num_rows * replicates).reshape(batch.num_rows, replicates).astype("<u2")
-            yield pa.RecordBatch.from_arrays([batch.column("patient_id"), pa.array([x.tobytes() for x in w], pa.binary())], ["patient_id", "w"])
+        got = [(b.column("slot").to_numpy(), b.column("rep").to_numpy()) for b in batches if b.num_rows]
+        if got:
+            slots, which = np.unique(np.concatenate([x for x, _ in got]), return_inverse=True)
+            reps = np.concatenate([x for _, x in got]).astype(np.int64)
+            w = np.bincount(which * replicates + reps - 1, minlength=len(slots) * replicates).reshape(len(slots), replicates).astype("<u2")
+            for i in range(0, len(slots), 1024):
+                yield pa.RecordBatch.from_arrays([pa.array(slots[i : i + 1024]), pa.array([x.tobytes() for x in w[i : i + 1024]], pa.binary())], ["slot", "w"])
 
-    kind = patients.schema["patient_id"].dataType.simpleString()
-    return drawn.join(patients, "slot").select("patient_id", "reps").mapInArrow(pack, f"patient_id {kind}, w binary")
+    return drawn.mapInArrow(pack, "slot long, w binary").join(patients, "slot").select("patient_id", "w")
 
 
+#: Draws that a task turns into arrays.
+PACKED = 1 << 24
 #: Distinct keys whose sums a task holds for all replicates.
 HELD = 4096
 
