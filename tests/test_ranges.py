@@ -111,3 +111,20 @@ def test_early_candidates_keep_deaths_after_the_landmark(spark):
     got = {r["visit_id"] for r in extract.native_candidates(encounters, patients, deaths, rules).collect()}
     assert got == {2, 3, 5}  # 1 died by the landmark's day, 4 is 16 at the start
     assert {r["visit_id"] for r in extract.native_candidates(encounters, patients, deaths.withColumnRenamed("visit_id", "patient_id"), rules).collect()} == {1, 2, 3, 5}
+
+
+def test_events_without_a_key_are_dealt_over_tasks(spark):
+    """Most events have no bridge key; where the join is a shuffle, no task may get all of them."""
+    rows = spark.createDataFrame([(f"e{i}", "B1" if i % 50 == 0 else None) for i in range(2000)], "event_id string, key string")
+    table = spark.createDataFrame([("B1", 7), ("B2", 8), (None, 9)], "k string, v int")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for c, v in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+            spark.conf.set(c, v)
+        got = linkage.looked_up(rows, "key", table, "k", "event_id")
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 2000 and max(sizes) < 800
+        assert {(r["key"], r["k"], r["v"]) for r in got.collect()} == {("B1", "B1", 7), (None, None, None)}
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
