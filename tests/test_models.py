@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tidewater.operators import features as X
@@ -187,3 +188,29 @@ def test_store_makes_a_table_once(spark, tmp_path):
     first = fingerprint(spark, [str(tmp_path)])
     (tmp_path / "f").write_text("xy")
     assert fingerprint(spark, [str(tmp_path)]) != first
+
+
+def test_large_contributions_equal_those_of_a_local_score(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, (200, 4)).astype(float)
+    df = spark.createDataFrame([(i, 1 + i % 5, int(v[0] + v[2] > 3), [float(c) for c in v]) for i, v in enumerate(x)], "visit_id long, fold int, outcome int, x array<double>")
+    e = M.Encoded(1, df, list("abcd"), list("abcd"), x.mean(axis=0), x.std(axis=0), 200)
+    for model in ("random_forest", "gbt"):
+        fitted = M.large_model(e, np.arange(4), model, M.FitRules(3, 3, 3))
+        score = lambda v: np.array([fitted.predictProbability(Vectors.dense(r))[1] for r in v])  # noqa: B023, E731
+        order = np.array([2, 0, 3, 1])
+        want = np.abs(M.permutation_contributions(score, x[:5], x[50:53], order)).mean(axis=0)
+        got = {r["column"]: r["mean_abs"] for r in M.large_contributions(fitted, spark, x[:5], x[50:53], order).collect()}
+        assert want.max() > 0 and all(abs(got.get(i, 0.0) - v) < 1e-12 for i, v in enumerate(want))
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+def test_attribution_of_tables_beyond_memory(spark, monkeypatch):
+    monkeypatch.setattr(M, "IN_MEMORY", 0)
+    monkeypatch.setattr(model_queries, "RULES", M.FitRules(3, 2, 2))
+    monkeypatch.setattr(model_queries, "FOLDS", (1,))
+    monkeypatch.setattr(model_queries, "MATRICES", {"baseline": (), "baseline_procedures": ("procedures",)})
+    monkeypatch.setattr(model_queries.Run, "best", lambda self: {"baseline": "random_forest", "baseline_procedures": "logistic"})
+    rows = QUERIES["attribution"](spark, D).collect()
+    assert {(r["matrix"], r["model"]) for r in rows} == {("baseline", "random_forest"), ("baseline_procedures", "logistic")}
+    assert {"age", "sex", "visit_type"} == {r["feature"] for r in rows if r["matrix"] == "baseline"} and max(r["mean_abs"] for r in rows if r["matrix"] == "baseline") > 0
